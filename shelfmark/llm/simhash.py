@@ -75,7 +75,7 @@ def hex_of(fp: Column) -> Column:
 
 def blocks_for(distance: int) -> list[tuple[int, int]]:
     """(shift, width) of blocks such that ``distance`` differing bits leave one block with at most one."""
-    n = max(1, (distance + 2) // 2)
+    n = max(2, (distance + 2) // 2)
     if not 0 <= distance <= 7:
         raise ValueError("distances from 0 to 7 are supported: a block needs 15 bits at least")
     cut = [round(64 * i / n) for i in range(n + 1)]
