@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, keep_rows, row_key
+from .common import checkpoint, keep_rows, row_key, shuffle_partitions
 from .components import components
 
 HAMMING = 15
@@ -148,12 +148,14 @@ def link(fps: DataFrame, distance: int = 4) -> DataFrame:
     ``fps`` has a long column ``fp``; nulls and repeats are dropped. Returns ``fp, comp``, with
     ``comp`` the smallest fingerprint that is reachable. An empty table gives an empty table.
     """
-    fps = checkpoint(fps.select("fp").where(F.col("fp").isNotNull()).distinct())
+    # Dealt evenly by number: what follows multiplies the rows, so few partitions would not do.
+    parts = shuffle_partitions(fps.sparkSession)
+    fps = checkpoint(fps.select("fp").where(F.col("fp").isNotNull()).distinct().repartition(parts, "fp"))
     dense = components(_dense_groups(fps)) if distance >= 2 else None
     nodes = fps.withColumn("grp", F.col("fp"))
     if dense is not None:
         nodes = fps.join(dense, fps.fp == dense.node, "left").select("fp", F.coalesce("comp", "fp").alias("grp"))
-        nodes = checkpoint(nodes)
+        nodes = checkpoint(nodes.repartition(parts, "fp"))
     blocks = blocks_for(distance)
     homes, visits = _split_crowds(_homes(nodes, blocks), _visits(nodes, blocks))
     u, v = homes.alias("u"), visits.alias("v")
