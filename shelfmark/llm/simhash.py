@@ -209,7 +209,8 @@ def _labelled(slim: DataFrame, distance: int) -> DataFrame:
     first = slim.groupBy("fp").agg(F.min("id").alias("low")).join(link(slim.select("fp"), distance), "fp")
     first = checkpoint(first)
     low = first.groupBy("comp").agg(F.min("low").alias("component_id"))
-    return first.select("fp", "comp").join(low, "comp").select("fp", "comp", "component_id")
+    # Written out, so that both sides of the join are dealt anew and a large group's part can be split.
+    return first.select("fp", "comp").join(checkpoint(low), "comp").select("fp", "comp", "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", distance: int = 4, words: int = 4) -> DataFrame:
