@@ -102,7 +102,8 @@ def _groups(rows: DataFrame, size: int) -> DataFrame:
     slim = rows.groupBy("key").agg(F.min("id").alias("id"), F.min("sha").alias("sha"), F.min("row").alias("row"), F.count("*").alias("n"))
     named = checkpoint(slim.join(name, "key"))
     group = named.groupBy("level", "name").agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size"), F.min("key").alias("low"))
-    out = named.join(group, ["level", "name"])
+    # Written out, so that both sides of the join are dealt anew and a large group's part can be split.
+    out = named.join(checkpoint(group), ["level", "name"])
     # A group without ids: null ids of one text share their key.
     return out.withColumn("lead", F.col("id").eqNullSafe(F.col("keep_id")))
 
