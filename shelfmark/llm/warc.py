@@ -29,6 +29,8 @@ from .common import shared_folder
 LEAST = 100
 #: Pages that the dictionary is trained on, at most, and the characters of each.
 SAMPLE, SAMPLE_CHARS, DICT_BYTES = 400, 8192, 32768
+#: Bytes of an archive that the decoder is given at once.
+PIECE = 1 << 12
 # Fixed values of the formats.
 DICT_FRAME = b"\x5d\x2a\x4d\x18"
 SKIP_FRAME = b"\x50\x2a\x4d\x18"
@@ -145,6 +147,7 @@ def frames(data: bytes) -> Iterator[bytes]:
         if body[:4] == ZSTD_FRAME:
             body = zstandard.ZstdDecompressor().decompress(body)
         dictionary, at = zstandard.ZstdCompressionDict(body), 8 + size
+    reader = zstandard.ZstdDecompressor(**({"dict_data": dictionary} if dictionary else {}))
     while at < len(data):
         if 0x50 <= data[at] <= 0x5F and data[at + 1 : at + 4] == SKIP_FRAME[1:]:
             if at + 8 > len(data):
@@ -155,15 +158,19 @@ def frames(data: bytes) -> Iterator[bytes]:
             if data[at:] == b"\n":
                 return
             raise BadArchive(f"no frame at byte {at}")
-        d = zstandard.ZstdDecompressor(**({"dict_data": dictionary} if dictionary else {})).decompressobj()
-        try:
-            out = d.decompress(view[at:])
-        except zstandard.ZstdError as e:
-            raise BadArchive(f"the frame at byte {at} cannot be decoded: {e}") from e
-        if not d.eof:
-            raise BadArchive("the last frame is cut off")
-        at = len(data) - len(d.unused_data)
-        yield out
+        d, out, start = reader.decompressobj(), [], at
+        # Fed in pieces: what a frame leaves of its last piece is the only part copied.
+        while not d.eof:
+            piece = view[at : at + PIECE]
+            if not len(piece):
+                raise BadArchive("the last frame is cut off")
+            try:
+                out.append(d.decompress(piece))
+            except zstandard.ZstdError as e:
+                raise BadArchive(f"the frame at byte {start} cannot be decoded: {e}") from e
+            at += len(piece)
+        at -= len(d.unused_data)
+        yield b"".join(out)
 
 
 def train_dictionary(pages: DataFrame, html: str = "html") -> bytes:
