@@ -41,15 +41,18 @@ WORDS = {
 }
 GROUPS = {k: frozenset(v.split()) for k, v in WORDS.items()}
 OPEN_TAGS = ("nav", "header", "footer", "aside", "form", "article", "main", "li", "table")
+#: Characters of its own from which a node without many links counts as prose.
+PROSE = 80
+RAISES = (1, 2, 3, 4)
 CUT = re.compile(r"[a-z0-9]+")
-WORD = re.compile(r"\S+")
+CAMEL = re.compile(r"([a-z])([A-Z])")
 STOPS = re.compile(r"[.,;:!?]")
 
 
 class Nodes:
     """Features of the nodes of one page, and which node each text run belongs to."""
 
-    __slots__ = ("features", "marks", "owner", "parent", "tree")
+    __slots__ = ("features", "marks", "owner", "parent", "prose", "tree")
 
     def __init__(self, source: str) -> None:
         tree: Tree = parse(source)
@@ -58,7 +61,7 @@ class Nodes:
         for i in range(n_el):
             up = unit[tree.parent[i]] if tree.parent[i] >= 0 else 0
             a = attributes(tree.attrs[i]) if tree.attrs[i].strip(" /\n\t") else {}
-            if tree.tag[i] in BLOCK or "class" in a or "id" in a or "role" in a:
+            if tree.tag[i] in BLOCK or "class" in a or "id" in a or "role" in a or "itemprop" in a:
                 unit[i] = len(parent)
                 parent.append(up)
                 tags.append(tree.tag[i])
@@ -87,6 +90,8 @@ class Nodes:
             s[parent[u], :6] += s[u, :6]
         self.tree, self.parent = tree, parent
         self.marks = [a.get("data-y") for a in attrs]
+        named = np.array([t in ("article", "main") for t in tags])
+        self.prose = bool((((s[:, 6] >= PROSE) & (s[:, 3] < 0.3 * s[:, 0])) | (named & (s[:, 0] > 0))).any())
         self.features = self._features(parent, tags, attrs, s)
 
     @staticmethod
@@ -104,7 +109,8 @@ class Nodes:
             p, a = parent[u], attrs[u]
             depth[u] = depth[p] + 1
             if a:
-                tokens = set(CUT.findall(" ".join((a.get("class", ""), a.get("id", ""), a.get("role", ""))).lower()))
+                names = " ".join(a.get(k, "") for k in ("class", "id", "role", "itemprop", "aria-label"))
+                tokens = set(CUT.findall(CAMEL.sub(r"\1 \2", names).lower()))
                 if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", ""):
                     tokens.add("hidden")
                 own[u] = [bool(tokens & g) for g in GROUPS.values()]
@@ -181,12 +187,22 @@ def extract(sources: list[str | None], model: Trees) -> list[str]:
     p = model.probability(np.concatenate([x.features for x in pages]))
     out, at = [], 0
     for x in pages:
-        out.append(text_of(x, decode(x.parent, p, at, np.ones(len(x.parent)))))
-        at += len(x.parent)
+        n = len(x.parent)
+        own = np.clip(p[at : at + n], 1e-6, 1 - 1e-6)
+        kept = decode(x.parent, own, 0, np.ones(n))
+        # A page with prose or an article that has nothing likely: the odds are raised until some of it is kept.
+        if not kept[1:].any() and x.prose:
+            for raise_ in RAISES:
+                odds = own / (1 - own) * math.exp(raise_)
+                kept = decode(x.parent, odds / (1 + odds), 0, np.ones(n))
+                if kept[1:].any():
+                    break
+        out.append(text_of(x, kept))
+        at += n
     return out
 
 
-def train(pages: int = 600, seed: int = 7) -> Trees:
+def train(pages: int = 900, seed: int = 7) -> Trees:
     """Fits on generated pages; each node is labelled by what most of its text is. Kept per process."""
     cache = sys.modules.setdefault("_shelfmark_dom_models", types.ModuleType("_shelfmark_dom_models")).__dict__
     if (pages, seed) in cache:

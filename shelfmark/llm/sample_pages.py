@@ -60,7 +60,7 @@ class _Page:
             return "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
         return self.pick([" | ", " ", " &middot; "]).join(items)
 
-    def junk(self, kind: str) -> str:
+    def junk(self, kind: str, sure: bool = False) -> str:
         r = self.rng
         tag = {"nav": "nav", "header": "header", "footer": "footer", "side": "aside"}.get(kind, "div")
         tag = tag if self.semantic and self.chance(0.85) else self.pick(["div", "div", "section"])
@@ -85,27 +85,27 @@ class _Page:
         else:
             body = f"{self.words(1, 3)} {self.words(1, 4)}" if self.chance(0.5) else self.links(4)
         names = JUNK[kind]
-        p = 1.0 if tag == "div" and kind in ("ad", "notice", "comments", "side", "share") else 0.7
+        p = 1.0 if sure or tag == "div" and kind in ("ad", "notice", "comments", "side", "share") else 0.7
         return f'<{tag} data-y="0"{self.attr(names, p)}>{body}</{tag}>'
 
     def article(self) -> str:
         r, parts = self.rng, []
         if self.chance(0.75):
             parts.append(f"<h1>{self.words(1, 12)}</h1>")
-        if self.chance(0.25):
-            parts.append(self.junk("share"))
+        if self.named and self.chance(0.25):
+            parts.append(self.junk("share", True))
         for _ in range(int(r.choice([1, 1, 1, 1, 2, 3, 5, 8, 14, 30]))):
             k = r.random()
-            if k < 0.78:
+            if k < 0.72:
                 p = self.prose(1, 6) if self.chance(0.35) else self.prose()
                 parts.append(f"<p>{p}" + ("</p>" if self.chance(0.9) else "<br>"))
-            elif k < 0.84:
+            elif k < 0.79:
                 parts.append(f"<h2>{self.words(1, 7)}</h2>")
-            elif k < 0.89:
+            elif k < 0.85:
                 parts.append("<ul>" + "".join(f"<li>{self.words(3, 20)}</li>" for _ in range(int(r.integers(2, 6)))) + "</ul>")
-            elif k < 0.92:
+            elif k < 0.89:
                 parts.append(f"<blockquote>{self.prose()}</blockquote>")
-            elif k < 0.94:
+            elif k < 0.93:
                 parts.append(f"<pre>{self.words(3, 30)}</pre>")
             elif k < 0.96:
                 parts.append(f"<table><tr><td>{self.words(1, 6)}</td><td>{self.words(1, 6)}</td></tr></table>")
@@ -113,10 +113,10 @@ class _Page:
                 parts.append(f"<figure><figcaption>{self.words(3, 14)}</figcaption></figure>")
             else:
                 parts.append(f"<div>{self.prose()}</div>")
-            if self.chance(0.06):
-                parts.append(self.junk(self.pick(["ad", "ad", "side", "notice", "share", "form", "nav"])))
-        if self.chance(0.12):
-            parts.append(self.junk(self.pick(["comments", "share", "side"])))
+            if self.named and self.chance(0.06):  # only what its name gives away
+                parts.append(self.junk(self.pick(["ad", "ad", "side", "notice", "share", "form", "nav"]), True))
+        if self.named and self.chance(0.12):
+            parts.append(self.junk(self.pick(["comments", "share", "side"]), True))
         tag = self.pick(["article", "article", "main", "section"]) if self.semantic and self.chance(0.85) else "div"
         return f'<{tag} data-y="1"{self.attr(MAIN_NAMES, 0.6 if tag != "div" else 0.9)}>{"".join(parts)}</{tag}>'
 
