@@ -15,6 +15,8 @@ from ..functions import text as fn
 
 MAX_BYTES, MAX_DEPTH = 32 << 20, 64
 HASH_LENGTH = 32
+#: Entries put out at once.
+ROWS = 1 << 15
 
 
 class BadTree(ValueError):
@@ -61,14 +63,18 @@ def file_rows(trees: DataFrame, key: str = "hash", prefix: str | None = None, ex
     cannot be recorded are dropped; ``prefix`` keeps, ``exclude`` drops what starts so."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns, rows = ["k", "path", "kind", "size", "target"], []
         for b in batches:
             for k, t in zip(b["k"], b["t"], strict=True):
                 try:
-                    rows = flatten(t) if t is not None else []
+                    rows += [(k, *r) for r in flatten(t)] if t is not None else []
                 except BadTree:
+                    continue
+                if len(rows) >= ROWS:
+                    yield pd.DataFrame(rows, columns=columns)
                     rows = []
-                if rows:
-                    yield pd.DataFrame([(k, *r) for r in rows], columns=["k", "path", "kind", "size", "target"])
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
     out = trees.select(F.col(key).alias("k"), F.col("tree").alias("t")).mapInPandas(run, "k string, path string, kind string, size long, target string")
     out = out.where(fn.encodable(F.col("path")) & fn.encodable(F.col("target")))
