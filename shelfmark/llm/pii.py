@@ -31,9 +31,9 @@ PATTERNS = (
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"),
     ("phone", r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?![\d])|(?<![\d-])(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4}(?![\d-])"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-    ("ip", r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)"),
+    ("ip", r"(?<!\d)(?<!\d\.)(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"),
     ("date", r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}([/.])\d{1,2}\1\d{4})(?![\d/-]|\.\d)"),
-    ("card", r"(?<![\d.,-])(?:\d{13,19}|\d{4}([ -])\d{4}\2\d{4}\2\d{1,7})(?![\d-]|[.,]\d)"),
+    ("card", r"(?<!\d)(?<!\d[.,-])(?:\d{13,19}|\d{4}([ -])\d{4}\2\d{4}\2\d{1,7})(?!\d|[.,-]\d)"),
 )
 PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: Every match holds one of these.
