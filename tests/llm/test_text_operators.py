@@ -325,7 +325,8 @@ def test_archive_reader_validates():
 
 def test_pipeline_against_brute_force(spark, sf):
     import corpus_pipeline
-    from test_dedup import brute_components, norm, plain_fingerprint
+    from test_dedup import norm
+    from test_simhash_wide import shingles
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("labels", "benchmark"))
@@ -335,11 +336,12 @@ def test_pipeline_against_brute_force(spark, sf):
     for i, t in rows:
         first.setdefault(norm(t), i)
     rows = [(i, t) for i, t in rows if first[norm(t)] == i]
-    root = brute_components([plain_fingerprint(t) for _, t in rows], 4)
-    rows = [x for k, x in enumerate(rows) if root[k] == k]
     items = [r.text for r in bench.collect()]
-    got = corpus_pipeline.run(spark, sf)
-    ids = {r.doc_id for r in got.collect()}
-    assert got.columns == [*docs.columns, "copies", "taken"]
-    assert ids <= {i for i, t in rows if not any(x in t for x in items)} and len(ids) > 0.5 * len(rows)
+    whole = corpus_pipeline.run(spark, sf)
+    got = {r.doc_id for r in whole.collect()}
+    assert whole.columns == [*docs.columns, "copies", "taken"]
+    clean = {i for i, t in rows if not any(x in t for x in items)}
+    assert got <= clean and len(got) > 0.5 * len(rows)
+    sets = {i: shingles(t) for i, t in rows if i in got}
+    assert not any(len(a & b) > 0.9 * len(a | b) for i, a in sets.items() for k, b in sets.items() if i < k)
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
