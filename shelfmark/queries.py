@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from .derived import derive, prelude
 from .functions import text as fn
 from .operators import closure, commands, incremental, locate, metasearch, textindex
 from .plans.query import Field, FileSort, LocateQuery, MetaQuery, MetaSort
-from .sources import evaluation, listings
+from .sources import archive, evaluation, listings
+from .storage import shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -291,5 +294,21 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("chunk_manifest", _chunks, "SELECT CAST(page_id AS VARCHAR) AS blob, sha256(html) AS sha, true AS ok FROM pages WHERE strlen(html) > 0")
 
 
+def _archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, packages = derive(spark, sf_dir, "files", "packages")
+    files = files.withColumn("target", F.when(F.col("kind") == "s", fn.basename(F.col("path"))))
+    path = f"{shared_folder(spark).rstrip('/')}/archive-{uuid.uuid4().hex}/files"
+    archive.write_archive(packages, files, path, frame_bytes=1 << 18)
+    packages, files = archive.read_archives(spark, path)
+    return files.join(packages, "pkg_id").select("pkg_id", "attr", "output", "toplevel", "system", "hash", "name", "path", "kind", "size", "target")
+
+
+register(
+    "archive_roundtrip", _archive,
+    "SELECT dense_rank() OVER (ORDER BY p.pkg_id) - 1 AS pkg_id, p.attr, p.output, p.toplevel, p.system, p.hash, p.name, f.path, f.kind, CASE WHEN f.kind = 's' THEN 0 ELSE f.size END AS size, CASE WHEN f.kind = 's' THEN regexp_extract(f.path, '[^/]*$') END AS target FROM files f JOIN packages p ON p.pkg_id = f.pkg_id",
+    ("packages", "files"),
+)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["locate_literal"](spark, sf_dir)

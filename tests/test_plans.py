@@ -72,9 +72,9 @@ def test_query_checks():
 
 
 def test_functions(spark):
-    df = spark.createDataFrame([("/nix-x/st/abc-hello-2.1", 1234567, "/bin/ls"), ("nodash", 12, ""), ("h-n", 0, "/a/")], "p string, n long, f string")
+    df = spark.createDataFrame([("/top-x/st/abc-hello-2.1", 1234567, "/bin/ls"), ("nodash", 12, ""), ("h-n", 0, "/a/")], "p string, n long, f string")
     rows = df.select(fn.parse_store_path(F.col("p")).alias("q"), fn.grouped(F.col("n")).alias("g"), fn.basename(F.col("f")).alias("b"), fn.dirname(F.col("f")).alias("d")).collect()
-    assert tuple(rows[0].q) == ("/nix-x/st", "abc", "hello-2.1") and rows[1].q is None and tuple(rows[2].q) == ("", "h", "n")
+    assert tuple(rows[0].q) == ("/top-x/st", "abc", "hello-2.1") and rows[1].q is None and tuple(rows[2].q) == ("", "h", "n")
     assert [r.g for r in rows] == ["1,234,567", "12", "0"] and [r.b for r in rows] == ["ls", "", ""] and [r.d for r in rows] == ["/bin", "", "/a"]
     one = spark.range(1).select(
         fn.percent_encoded(F.lit("a b*~/é")).alias("e"), fn.trigrams(F.lit("abcab")).alias("t"), fn.trigrams(F.lit("ab")).alias("u"),
