@@ -71,3 +71,17 @@ def test_documents(spark):
     assert all(best(i) > 0.6 for i in gone if i in sets)
     pairs = [(i, k) for i, k in itertools.combinations(sets, 2) if len(sets[i] & sets[k]) >= 0.85 * len(sets[i] | sets[k])]
     assert pairs and sum(i in kept and k in kept for i, k in pairs) <= 0.15 * len(pairs)
+
+
+def test_last_bits_make_anchors(spark):
+    """Fingerprints that differ by five bits in each of the first eight blocks, by one in the others."""
+    flips = [21 * b + k for b in range(8) for k in range(16, 21)] + [187, 206, 225, 244]
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    rnd, rows = random.Random(3), []
+    for _ in range(20):
+        f = rnd.getrandbits(256)
+        for bits in (f, f ^ sum(1 << k for k in flips)):
+            rows.append((len(rows), len(rows), *[signed(bits >> 64 * w & (1 << 64) - 1) for w in range(4)]))
+    nodes = spark.createDataFrame(rows, "node long, grp long, f0 long, f1 long, f2 long, f3 long")
+    got = {(min(r.x, r.y), max(r.x, r.y)) for r in wide.meetings(nodes, len(flips)).collect()}
+    assert got == {(2 * k, 2 * k + 1) for k in range(20)}
