@@ -4,8 +4,8 @@ Texts become templates: numbers, names and units give typed placeholders (slots)
 lower-cased. Windows of template tokens of the benchmark are hashed into a table, windows of each
 document are looked up in it (a hash join whose build side is cut into blocks of a fixed size, so
 benchmarks of any size are joined whole), and hits are confirmed on the template tokens themselves.
-The slots of confirmed windows must fit together: each value of the item stands for one value in the
-document and the other way round, which tells re-parameterised questions from chance. A document
+The slots of confirmed windows must fit together at each place: each value of the item stands for one
+value there and the other way round, which tells re-parameterised questions from chance. A document
 leaks an item if the windows that fit, in a stretch of the item's length, cover enough of the item.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -205,22 +206,45 @@ def build(items: list[Item]) -> dict[int, tuple]:
     return out
 
 
-def _fits(hits: list[tuple[int, int]], item: Item, values: list[str], tokens: list[str]) -> list[tuple[int, int]]:
-    """Hits (item position, document position) whose slots agree with the most frequent reading."""
+def _agreeing(hits: list[tuple[int, int]], pairs: list[list[tuple]], near: list[int]) -> list[tuple[int, int]]:
+    """Hits whose slots agree with one reading: the values of the nearest hits first, of those the most frequent."""
+    first: dict = {}
     votes: Counter = Counter()
-    pairs = []
-    for at, pos in hits:
-        own = [(item.tokens[at + i], item.values[at + i], values[pos + i]) for i in range(item.width) if tokens[pos + i].startswith("<")]
-        pairs.append(own)
-        votes.update(set(own))
+    for own, far in zip(pairs, near, strict=True):
+        for p in own:
+            first[p] = min(far, first.get(p, far))
+    for own, far in zip(pairs, near, strict=True):
+        votes.update({p for p in own if first[p] == far})
     there: dict = {}
     back: dict = {}
-    for (kind, a, b), _ in sorted(votes.items(), key=lambda x: (-x[1], x[0])):
+    for kind, a, b in sorted(votes, key=lambda p: (first[p], -votes[p], p)):
         if (kind, a) not in there and (kind, b) not in back:
             there[kind, a], back[kind, b] = b, a
     return [h for h, own in zip(hits, pairs, strict=True) if all(there.get((k, a)) == b for k, a, b in own)]
 
 
+def covered(hits: list[tuple[int, int]], item: Item, values: dict[int, str], tokens: dict[int, str]) -> int:
+    """Most distinct windows of the item that one place of the document holds with slots that agree.
+
+    Hits (item position, document position) that stand alike, by document position minus item position,
+    are one place; other hits in its stretch count where they agree with it, so places that hold the
+    item with other values do not spoil one another. The reading of the whole document is one more try.
+    """
+    hits = sorted(hits, key=lambda h: (h[1], h[0]))
+    pairs = [[(item.tokens[at + i], item.values[at + i], values[pos + i]) for i in range(item.width) if tokens[pos + i].startswith("<")] for at, pos in hits]
+    best = best_cover(_agreeing(hits, pairs, [0] * len(hits)), item)
+    spots, size = [pos for _, pos in hits], len(item.tokens)
+    for place, _ in Counter(pos - at for at, pos in hits).most_common():
+        if best == len(item.windows):
+            break
+        lo, hi = bisect_left(spots, place - size // 2), bisect_right(spots, place + size + size // 2)
+        some = hits[lo:hi]
+        if len({at for at, _ in some}) > best:
+            near = [abs(pos - at - place) for at, pos in some]
+            best = max(best, best_cover(_agreeing(some, pairs[lo:hi], near), item))
+    return best
+
+
 def best_cover(hits: list[tuple[int, int]], item: Item) -> int:
     """Most distinct windows of the item among hits within a stretch of its own length and a half."""
     hits = sorted((pos, at) for at, pos in hits)
@@ -271,8 +295,7 @@ def leaks_in(texts: list[str], items: list[Item], table: dict, scanner: Scanner,
         values = {p: lexicon.plain[int(c["raw"][p])] for p in places}
         tokens = {p: names.get(int(c["slot"][p]), values[p]) for p in places}
         hits = [(at, pos) for at, pos in hits if all(tokens[pos + i] == item.tokens[at + i] for i in range(item.width))]
-        hits = _fits(hits, item, values, tokens)
-        got = best_cover(hits, item) if hits else 0
+        got = covered(hits, item, values, tokens) if len(hits) >= need else 0
         if got >= need:
             out.append((docs[doc], n, got))
     return out

@@ -121,6 +121,20 @@ def test_slots_must_agree():
     assert look(base.format(3, 4, 3, 4)) and not look(base.format(3, 4, 6, 7))
 
 
+def test_slots_agree_by_place():
+    """An item is found whatever other values it stands with elsewhere in the document."""
+    base = "the value {} is added to {} and then {} is taken from {} in the end by her"
+    item = decontaminate.Item(1, base.format(20, 30, 40, 50), 5)
+    table, rnd = decontaminate.build([item]), random.Random(6)
+    look = lambda t: decontaminate.leaks_in([t], [item], table, decontaminate.Scanner(set(item.values)), 0.5)
+    for gap in (" " + "w " * 200, ". ", "\n"):
+        assert look(gap.join([base.format(20, 30, 40, 50), base.format(21, 29, 41, 49)])) == [(0, 0, len(item.windows))]
+        for n in (1, 2, 10):
+            texts = [base.format(20, 30, 40, 50), *[base.format(*rnd.sample(range(60), 4)) for _ in range(n)]]
+            rnd.shuffle(texts)
+            assert look(gap.join(texts)) == [(0, 0, len(item.windows))]
+
+
 def test_blocks_of_the_benchmark(spark, sf, monkeypatch):
     df, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     whole = {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()}
