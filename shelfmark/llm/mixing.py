@@ -3,9 +3,9 @@
 Each source gets a target in words. Whole copies that are certain come first; the rest of the
 target is drawn once more from the source's documents in the order of their Pareto ranks: the
 random odds u / (1 - u) divided by the odds p / (1 - p) of the inclusion probability p. Documents
-are taken in that order for as long as they fit. Running sums go over slices of the rank scale, so
-a source of any size is spread over many tasks; only the slice in which a source's target ends,
-some hundred documents, is walked through one by one.
+are taken in that order if they fit. Running sums go over slices of the rank scale, so a source of
+any size is spread over many tasks; only a slice in which what is left of a target ends, some hundred
+documents, is walked through one by one. Rounds follow with the documents behind it that still fit.
 """
 
 from __future__ import annotations
@@ -110,6 +110,24 @@ def _mixed(df: DataFrame, id_col: str, text: str, source: str, weights=(5, 2, 1)
     # Within a source p is the same, so u cuts the rank scale into even slices.
     cut = F.least(F.floor(F.col("u") * F.col("slices")), F.col("slices") - 1)
     d = d.select("row", "id", "src", "size", "source_size", "target", "whole", "rest", rank.alias("rank"), cut.alias("slice"))
+    keep, out = ["row", "id", "src", "size", "source_size", "target", "copies"], None
+    # Each round ends in a slice that does not fit whole; the next goes on with what fits behind it.
+    while True:
+        passed, walked, later = _round(d)
+        left = walked.groupBy("src").agg((F.first("rest") - F.first("before") - F.sum(F.col("size") * (F.col("copies") - F.col("whole")))).alias("now"))
+        later = _with_source(later, left)
+        fits = (F.col("size") > 0) & (F.col("size") <= F.col("now"))
+        d = checkpoint(later.where(fits).withColumn("rest", F.col("now")).drop("now", "end", "before"))
+        for part in (passed, walked, later.where(~fits).withColumn("copies", F.col("whole"))):
+            part = part.select(*keep)
+            out = part if out is None else out.unionByName(part)
+        if d.isEmpty():
+            return out
+
+
+def _round(d: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of the slices that fit whole, of the slice in which a source's ``rest`` ends, both with ``copies``,
+    and of the slices behind it."""
     sums = d.groupBy("src", "slice").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     before = F.coalesce(F.sum("words").over(W.partitionBy("src").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sums = sums.withColumn("before", before.cast("long"))
@@ -118,11 +136,9 @@ def _mixed(df: DataFrame, id_col: str, text: str, source: str, weights=(5, 2, 1)
     end = end.groupBy("src").agg(F.min(F.struct("slice", "before")).alias("end"))
     end = checkpoint(end.select("src", F.col("end.slice").alias("end"), F.col("end.before").alias("before")))
     d = _with_source(d, end, "left")
-    passed = F.col("end").isNull() | (F.col("slice") < F.col("end"))
-    early = d.where(passed | (F.col("slice") > F.col("end")))
-    early = early.withColumn("copies", F.col("whole") + F.when(passed & (F.col("rest") > 0), 1).otherwise(0))
-    keep = ["row", "id", "src", "size", "source_size", "target", "copies"]
-    return early.select(*keep).unionByName(_last_slice(d.where(F.col("slice") == F.col("end"))).select(*keep))
+    passed = d.where(F.col("end").isNull() | (F.col("slice") < F.col("end")))
+    passed = passed.withColumn("copies", F.col("whole") + F.when(F.col("rest") > 0, 1).otherwise(0))
+    return passed, checkpoint(_last_slice(d.where(F.col("slice") == F.col("end")))), d.where(F.col("slice") > F.col("end"))
 
 
 def _with_source(d: DataFrame, plan: DataFrame, how: str = "inner") -> DataFrame:
@@ -148,7 +164,7 @@ def _last_slice(d: DataFrame) -> DataFrame:
         return F.struct((state["left"] - fit * x["size"]).alias("left"), F.concat(state["take"], F.array(fit)).alias("take"))
 
     per = per.withColumn("take", F.aggregate("rows", start, step)["take"])
-    out = per.select("src", "source_size", "target", "whole", F.explode(F.arrays_zip("rows", "take")).alias("z"))
-    out = out.select("src", "source_size", "target", "whole", "z.rows.*", F.col("z.take").alias("take"))
+    out = per.select("src", "source_size", "target", "whole", "rest", "before", F.explode(F.arrays_zip("rows", "take")).alias("z"))
+    out = out.select("src", "source_size", "target", "whole", "rest", "before", "z.rows.*", F.col("z.take").alias("take"))
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     return out.withColumn("copies", F.col("whole") + F.when(F.col("copy") <= F.col("take"), 1).otherwise(0))

@@ -89,3 +89,13 @@ def test_documents(spark, sf):
         own = [r for r in got if r.source == s]
         assert sum(r.taken for r in own) <= own[0].target + 1e-6
         assert own[0].target - sum(r.taken for r in own) <= max(r.size for r in own)
+
+
+def test_long_document_does_not_end_the_mix(spark):
+    """A document as long as all others may come first in any slice; what fits behind it is taken."""
+    for long in (0, 7, 11):
+        data = [(i, "w " * 300, "a", "x") for i in range(1000)] + [(5000 + long, "w " * 300_000, "a", "x")]
+        got = mixing.mix(spark.createDataFrame(data, SCHEMA), share=0.5).collect()
+        took = {r.doc_id for r in got if r.taken}
+        assert len(got) == 1001 and got[0].target == 300_000
+        assert took == {5000 + long} or sum(r.taken for r in got) > 299_700, (long, len(took))
