@@ -85,3 +85,20 @@ def test_last_bits_make_anchors(spark):
     nodes = spark.createDataFrame(rows, "node long, grp long, f0 long, f1 long, f2 long, f3 long")
     got = {(min(r.x, r.y), max(r.x, r.y)) for r in wide.meetings(nodes, len(flips)).collect()}
     assert got == {(2 * k, 2 * k + 1) for k in range(20)}
+
+
+def test_threshold_is_exact(spark):
+    """Around 0.8: what is linked has that similarity, and pairs that have it are linked but for a few that do not meet."""
+    rnd, rows, above, below = random.Random(5), [], [], []
+    for k in range(400):
+        words = ["".join(rnd.choices("abcdefghij", k=6)) for _ in range(300)]
+        other = words[: rnd.choice([266, 267, 268, 269])]
+        other += ["z" + "".join(rnd.choices("abcdefghij", k=6)) for _ in range(300 - len(other))] if k % 2 else []
+        if not k % 2:
+            other = words[: rnd.choice([240, 241, 242, 243])]  # 236 of 296 shingles fall short, 237 do not
+        a, b = shingles(" ".join(words)), shingles(" ".join(other))
+        (above if 5 * len(a & b) >= 4 * len(a | b) else below).append(len(rows) + 1)
+        rows += [(len(rows), " ".join(words), "x"), (len(rows) + 1, " ".join(other), "x")]
+    kept = {r.doc_id for r in wide.drop_near_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(above) > 100 and len(below) > 40 and all(i in kept for i in below)
+    assert sum(i in kept for i in above) <= 0.08 * len(above)
