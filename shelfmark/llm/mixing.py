@@ -1,23 +1,31 @@
 """Mixing sources to target weights by Pareto order sampling, with DataFrame functions only.
 
-Each source gets a target in words. Whole copies that are certain come first; the rest of the
-target is drawn once more from the source's documents in the order of their Pareto ranks: the
-random odds u / (1 - u) divided by the odds p / (1 - p) of the inclusion probability p. Documents
-are taken in that order if they fit. Running sums go over slices of the rank scale, so a source of
-any size is spread over many tasks; only a slice in which what is left of a target ends, some hundred
-documents, is walked through one by one. Rounds follow with the documents behind it that still fit.
+Each source gets a target in words. Whole copies that are certain come first: as many of each document
+as the target holds of the whole source. The rest of the target is drawn once more, with inclusion
+probabilities p in proportion to the documents' sizes such that the expected words are the rest; those
+that reach one are certain and taken, and the others' are worked out anew. Documents are ranked by the
+random odds u / (1 - u) divided by their inclusion odds p / (1 - p) and taken in that order if they fit,
+so what is missing in the end is less than any document that could still be taken.
+
+Running sums go over bins of the rank scale, so a source of any size is spread over many tasks; the bin
+in which the rest ends is cut into finer ones until some hundred documents are left, which are walked
+through one by one. Rounds follow with the documents behind it that still fit.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import WORD, checkpoint, free_name, row_key
 
-#: Documents expected in a slice of the rank scale.
-SLICE = 512
+#: Documents of a source that are walked through one by one; the result does not depend on it.
+WALK = 1024
+#: Bits of the rank scale below each level of bins.
+LEVELS = (36, 24, 12, 0)
 #: Sources up to which their plan is broadcast; more are joined by source and salt.
 SMALL = 10_000
 SALTS = 64
@@ -35,7 +43,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     Sources ordered by code point, null last, weigh ``weights`` repeating and share ``share`` times
     the sum of all sizes; a target stops at ``most`` times its source's size and the excess is shared
     again by weight. That ends at a level: the target is weight times level, or the stop if that is
-    less. The rows are one per source.
+    less. The rows are one per source and are numbered in one task.
     """
     place = F.row_number().over(W.orderBy(F.col("source").isNull(), "source")) - 1
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (place % len(weights) + 1).cast("int"))
@@ -62,12 +70,13 @@ def mix(
     share: float = 1.5,
     seed: int = 42,
 ) -> DataFrame:
-    """One row per row of ``df``: ``key``, id, ``size, source_size, target, copies, taken``.
+    """One row per row of ``df``: id, ``size, source_size, target, copies, taken``.
 
     ``size`` counts words; null texts have none. ``taken`` is ``copies`` times ``size`` with at most
     two copies. A null source is a source of its own, the last. Random numbers are a hash of seed,
     id, source and text, so reruns agree; rows that repeat in all three are interchangeable. Documents
-    without words take nothing. An empty table gives an empty one; other columns are ignored.
+    without words and documents longer than their source's target take nothing. An empty table gives
+    an empty one; other columns are ignored.
     """
     d = _mixed(df, id_col, text, source, weights, share, seed)
     return d.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
@@ -84,61 +93,126 @@ def mixed_rows(df: DataFrame, id_col: str = "doc_id", text: str = "text", source
     per = d.groupBy("row").agg(F.sum("copies").alias(copies), F.sum(F.col("copies") * F.col("size")).alias(taken))
     keyed = df.withColumn(key, _row(id_col, text, source))
     hit = keyed.join(per.withColumnRenamed("row", key), key)
-    return hit.dropDuplicates([key]).select(*df.columns, copies, taken)
+    return hit.dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in df.columns], copies, taken)
 
 
 def _row(id_col: str, text: str, source: str) -> Column:
     return F.concat_ws("|", row_key(F.col(id_col), F.col(text)), F.hex(F.xxhash64(source)))
 
 
-def _mixed(df: DataFrame, id_col: str, text: str, source: str, weights=(5, 2, 1), share: float = 1.5, seed: int = 42) -> DataFrame:
+def _documents(df: DataFrame, id_col: str, text: str, source: str, seed: int) -> DataFrame:
+    """Slim rows ``row, id, src, size, u, uid``; ``u`` is a random number between 0 and 1."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[F.col(c).cast("string") for c in (id_col, source, text)]), 11) + 0.5) / float(1 << 53)
     docs = df.select(_row(id_col, text, source).alias("row"), F.col(id_col).alias("id"), F.col(source).alias("src"), words_in(F.col(text)).alias("size"), u.alias("u"))
-    docs = checkpoint(docs)
-    sums = docs.groupBy("src").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    plan = targets(sums.withColumnRenamed("src", "source"), weights, share).withColumnRenamed("source", "src")
-    some = F.col("source_size") > 0
-    whole = F.when(some, F.least(F.lit(MOST), F.floor(F.col("target") / F.col("source_size") + 1e-12))).otherwise(0)
-    plan = plan.withColumn("whole", whole.cast("int"))
-    plan = plan.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
-    p = F.when(some, F.col("rest") / F.col("source_size")).otherwise(0.0)
-    plan = plan.withColumn("p", F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9)))
-    plan = plan.withColumn("slices", F.ceil(F.col("n") / F.lit(SLICE)).cast("long"))
-    plan = checkpoint(plan.select("src", "source_size", "target", "whole", "rest", "p", "slices"))
-    d = _with_source(docs, plan)
-    rank = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    # Within a source p is the same, so u cuts the rank scale into even slices.
-    cut = F.least(F.floor(F.col("u") * F.col("slices")), F.col("slices") - 1)
-    d = d.select("row", "id", "src", "size", "source_size", "target", "whole", "rest", rank.alias("rank"), cut.alias("slice"))
-    keep, out = ["row", "id", "src", "size", "source_size", "target", "copies"], None
-    # Each round ends in a slice that does not fit whole; the next goes on with what fits behind it.
-    while True:
+    return docs.withColumn("uid", F.monotonically_increasing_id())
+
+
+def _mixed(df: DataFrame, id_col: str, text: str, source: str, weights=(5, 2, 1), share: float = 1.5, seed: int = 42) -> DataFrame:
+    docs = checkpoint(_documents(df, id_col, text, source, seed))
+    sizes = checkpoint(docs.groupBy("src", "size").agg(F.count("*").alias("n")))
+    sums = sizes.groupBy("src").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    goal = targets(sums.withColumnRenamed("src", "source"), weights, share).select(F.col("source").alias("src"), "source_size", "target")
+    plan = checkpoint(allocation(sizes, goal))
+    d = _with_source(_promoted(docs, plan), plan.drop("lift"))
+    base = F.when(F.col("lifted"), F.lit(MOST)).when((F.col("size") > 0) & (F.col("size") <= F.col("target")), F.col("whole")).otherwise(0)
+    d = d.withColumn("copies", base.cast("int"))
+    may = ~F.col("lifted") & (F.col("size") > 0) & (F.col("size") <= F.col("rest"))
+    sure = may & (F.col("size") > F.col("cut"))
+    draw = may & ~sure & (F.col("size") <= F.col("left"))
+    keep = ["row", "id", "src", "size", "source_size", "target", "copies"]
+    out = [d.where(~draw).withColumn("copies", F.col("copies") + sure.cast("int")).select(*keep)]
+    p = F.least(F.greatest(F.col("rate") * F.col("size"), F.lit(1e-15)), F.lit(1 - 1e-15))
+    rank = (F.col("u") / (1 - F.col("u"))) / (p / (1 - p))
+    # The logarithm of the rank lies within 80; as a number of 48 bits it is cut into bins.
+    key = F.floor((F.ln("rank") + 80) / 160 * float(1 << 48))
+    d = d.where(draw).withColumn("rank", rank).withColumn("key", key).select(*keep, "uid", "rank", "key", "left")
+    d = checkpoint(d)
+    while not d.isEmpty():
         passed, walked, later = _round(d)
-        left = walked.groupBy("src").agg((F.first("rest") - F.first("before") - F.sum(F.col("size") * (F.col("copies") - F.col("whole")))).alias("now"))
-        later = _with_source(later, left)
-        fits = (F.col("size") > 0) & (F.col("size") <= F.col("now"))
-        d = checkpoint(later.where(fits).withColumn("rest", F.col("now")).drop("now", "end", "before"))
-        for part in (passed, walked, later.where(~fits).withColumn("copies", F.col("whole"))):
-            part = part.select(*keep)
-            out = part if out is None else out.unionByName(part)
-        if d.isEmpty():
-            return out
+        now = walked.groupBy("src").agg((F.first("left") - F.sum(F.col("size") * F.col("take"))).alias("now"))
+        later = _with_source(later, now)
+        fits = F.col("size") <= F.col("now")
+        d = checkpoint(later.where(fits).withColumn("left", F.col("now")).drop("now"))
+        taken = F.col("copies") + 1
+        out += [passed.withColumn("copies", taken).select(*keep), walked.withColumn("copies", F.col("copies") + F.col("take")).select(*keep)]
+        out.append(later.where(~fits).select(*keep))
+    return reduce(DataFrame.unionByName, out)
+
+
+def allocation(sizes: DataFrame, goal: DataFrame) -> DataFrame:
+    """The plan, one row per source: ``src, source_size, target, whole, rest, cut, left, rate, lift``.
+
+    ``sizes`` counts documents by ``src, size``. Every document up to the target's size gets ``whole``
+    copies; ``rest`` is what they leave of the target. Of the documents that fit in the rest, those
+    longer than ``cut`` are certain; the others share what these leave, ``left``, with a probability of
+    ``rate`` times their size. If the documents that fit in the rest do not reach it and a longer one
+    taken twice lets the others reach it better, one document of the size ``lift`` is taken twice and the
+    others get no certain copy. Distinct sizes of a source are fewer than the root of twice its words.
+    """
+    h = sizes.join(goal.withColumnRenamed("src", "g_src"), F.col("src").eqNullSafe(F.col("g_src"))).drop("g_src")
+    own = W.partitionBy("src")
+    words = F.col("n") * F.col("size")
+    within = lambda limit: F.coalesce(F.sum(F.when(F.col("size") <= limit, words)).over(own), F.lit(0))
+    h = h.withColumn("fit", within(F.col("target")))
+    h = h.withColumn("whole", F.when(F.col("fit") > 0, F.least(F.lit(MOST), F.floor(F.col("target") / F.col("fit") + 1e-12))).otherwise(0).cast("int"))
+    h = h.withColumn("rest", F.when(F.col("whole") < MOST, F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("fit"))).otherwise(F.lit(0.0)))
+    h = h.withColumn("miss", F.greatest(F.lit(0.0), F.col("rest") - within(F.col("rest"))))
+    longer = F.min(F.when((F.col("size") > F.col("rest")) & (F.col("size") <= F.col("target")), F.col("size"))).over(own)
+    h = h.withColumn("m", F.when((F.col("whole") == 1) & (F.col("miss") > 0), longer))
+    h = h.withColumn("other", F.col("target") - MOST * F.col("m"))
+    reach = within(F.col("other")) - F.when(F.col("m") <= F.col("other"), F.col("m")).otherwise(0)
+    h = h.withColumn("better", (F.col("other") >= 0) & (F.greatest(F.lit(0.0), F.col("other") - reach) < F.col("miss")))
+    h = h.withColumn("lift", F.when(F.col("better"), F.col("m")))
+    h = h.withColumn("whole", F.when(F.col("better"), 0).otherwise(F.col("whole"))).withColumn("rest", F.when(F.col("better"), F.col("other")).otherwise(F.col("rest")))
+    # Probabilities in proportion to size: the longest size at which they stay below one ends the certain ones.
+    many = (F.col("n") - F.when(F.col("lift") == F.col("size"), 1).otherwise(0)).cast("double")
+    many = F.when((F.col("size") > 0) & (F.col("size") <= F.col("rest")), many).otherwise(0.0)
+    down = own.orderBy(F.col("size").desc())
+    h = h.withColumn("above", F.coalesce(F.sum(many * F.col("size")).over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
+    h = h.withColumn("square", F.sum(many * F.col("size") * F.col("size")).over(down.rowsBetween(0, W.unboundedFollowing)))
+    h = h.withColumn("rate", F.when(F.col("square") > 0, (F.col("rest") - F.col("above")) / F.col("square")))
+    open_ = (many > 0) & (F.col("rate") * F.col("size") < 1)
+    first = F.max(F.when(open_, F.struct("size", (F.col("rest") - F.col("above")).alias("left"), "rate"))).alias("first")
+    one = [F.first(c).alias(c) for c in ("source_size", "target", "whole", "rest", "lift")]
+    plan = h.groupBy("src").agg(*one, first)
+    cut = [F.coalesce(F.col("first.size"), F.lit(0)).alias("cut"), F.coalesce(F.col("first.left"), F.lit(0.0)).alias("left"), F.coalesce(F.col("first.rate"), F.lit(0.0)).alias("rate")]
+    return plan.select("src", "source_size", "target", "whole", "rest", "lift", *cut)
+
+
+def _promoted(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """Adds ``lifted``: true for one document of each source whose plan takes one of a certain size twice."""
+    lift = plan.where("lift is not null").select("src", "lift")
+    if lift.isEmpty():
+        return docs.withColumn("lifted", F.lit(False))
+    some = _with_source(docs, lift).where("size = lift")
+    chosen = checkpoint(some.groupBy("src").agg(F.min(F.struct("u", "uid")).alias("one")).select("src", F.col("one.uid").alias("one")))
+    return _with_source(docs, chosen, "left").withColumn("lifted", F.coalesce(F.col("uid") == F.col("one"), F.lit(False))).drop("one")
 
 
 def _round(d: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows of the slices that fit whole, of the slice in which a source's ``rest`` ends, both with ``copies``,
-    and of the slices behind it."""
-    sums = d.groupBy("src", "slice").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    before = F.coalesce(F.sum("words").over(W.partitionBy("src").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.withColumn("before", before.cast("long"))
-    # The slice in which the running sum passes the target; none if it never does.
-    end = sums.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest")))
-    end = end.groupBy("src").agg(F.min(F.struct("slice", "before")).alias("end"))
-    end = checkpoint(end.select("src", F.col("end.slice").alias("end"), F.col("end.before").alias("before")))
-    d = _with_source(d, end, "left")
-    passed = d.where(F.col("end").isNull() | (F.col("slice") < F.col("end")))
-    passed = passed.withColumn("copies", F.col("whole") + F.when(F.col("rest") > 0, 1).otherwise(0))
-    return passed, checkpoint(_last_slice(d.where(F.col("slice") == F.col("end")))), d.where(F.col("slice") > F.col("end"))
+    """Rows that come, in rank order, before the place where their source's ``left`` ends and fit whole; rows
+    of that place, with ``take``; and rows behind it. Sources that fit whole have no such place."""
+    passed, later, open_ = [], [], d
+    for shift in LEVELS:
+        cell = F.shiftright("key", shift)
+        sums = open_.groupBy("src", cell.alias("cell")).agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.first("left").alias("left"))
+        own = W.partitionBy("src")
+        before = F.coalesce(F.sum("words").over(own.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
+        sums = sums.withColumn("before", before).withColumn("all", F.sum("n").over(own))
+        ends = sums.where(F.col("before") + F.col("words") > F.col("left"))
+        ends = ends.groupBy("src").agg(F.min(F.struct("cell", "before", "n", "all")).alias("e"))
+        few = F.col("e.all") <= WALK  # they are walked through as they are
+        ends = ends.select("src", F.when(few, F.lit(-1)).otherwise(F.col("e.cell")).alias("lo"), F.when(few, F.lit(1 << 50)).otherwise(F.col("e.cell")).alias("hi"),
+                           F.when(few, F.lit(0)).otherwise(F.col("e.before")).alias("gone"), F.when(few, F.col("e.all")).otherwise(F.col("e.n")).alias("n"))
+        ends = checkpoint(ends)
+        cut = _with_source(open_, ends.drop("n"), "left").withColumn("cell", cell)
+        passed.append(cut.where(F.col("lo").isNull() | (F.col("cell") < F.col("lo"))).drop("lo", "hi", "gone", "cell"))
+        later.append(cut.where(F.col("cell") > F.col("hi")).drop("lo", "hi", "gone", "cell"))
+        open_ = cut.where(F.col("cell").between(F.col("lo"), F.col("hi"))).withColumn("left", F.col("left") - F.col("gone")).drop("lo", "hi", "gone", "cell")
+        if ends.where(F.col("n") > WALK).isEmpty():
+            break
+        open_ = checkpoint(open_)
+    return reduce(DataFrame.unionByName, passed), checkpoint(_walk(open_)), reduce(DataFrame.unionByName, later)
 
 
 def _with_source(d: DataFrame, plan: DataFrame, how: str = "inner") -> DataFrame:
@@ -152,19 +226,17 @@ def _with_source(d: DataFrame, plan: DataFrame, how: str = "inner") -> DataFrame
     return left.join(right, left.src.eqNullSafe(right.p_src) & (left.salt == right.p_salt), how).drop("p_src", "p_salt", "salt")
 
 
-def _last_slice(d: DataFrame) -> DataFrame:
-    """Walks each source's last slice in rank order and takes what still fits; equal rows are counted."""
-    alike = d.groupBy("src", "rank", "row", "id", "size", "source_size", "target", "whole", "rest", "before").agg(F.count("*").alias("n"))
-    row = F.struct("rank", "row", "id", "size", "n")
-    per = alike.groupBy("src", "source_size", "target", "whole", "rest", "before").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    start = F.struct((F.col("rest") - F.col("before")).alias("left"), F.array().cast("array<long>").alias("take"))
+def _walk(d: DataFrame) -> DataFrame:
+    """Walks through the rows of each source in rank order; ``take`` is 1 for what fits in ``left``."""
+    one = ["source_size", "target", "left"]
+    row = F.struct("rank", "uid", "row", "id", "size", "copies")
+    per = d.groupBy("src").agg(*[F.first(c).alias(c) for c in one], F.sort_array(F.collect_list(row)).alias("rows"))
+    start = F.struct(F.col("left").alias("left"), F.array().cast("array<int>").alias("take"))
 
     def step(state: Column, x: Column) -> Column:
-        fit = F.when(x["size"] > 0, F.least(x["n"], F.floor(state["left"] / x["size"]))).otherwise(F.lit(0)).cast("long")
+        fit = (x["size"] <= state["left"]).cast("int")
         return F.struct((state["left"] - fit * x["size"]).alias("left"), F.concat(state["take"], F.array(fit)).alias("take"))
 
     per = per.withColumn("take", F.aggregate("rows", start, step)["take"])
-    out = per.select("src", "source_size", "target", "whole", "rest", "before", F.explode(F.arrays_zip("rows", "take")).alias("z"))
-    out = out.select("src", "source_size", "target", "whole", "rest", "before", "z.rows.*", F.col("z.take").alias("take"))
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    return out.withColumn("copies", F.col("whole") + F.when(F.col("copy") <= F.col("take"), 1).otherwise(0))
+    out = per.select("src", *one, F.explode(F.arrays_zip("rows", "take")).alias("z"))
+    return out.select("src", *one, "z.rows.*", F.col("z.take").alias("take"))
