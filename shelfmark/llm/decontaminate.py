@@ -1,12 +1,17 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become templates: numbers, names and units give typed placeholders (slots), other words are
-lower-cased. Windows of template tokens of the benchmark are hashed into a table, windows of each
-document are looked up in it (a hash join whose build side is cut into blocks of a fixed size, so
-benchmarks of any size are joined whole), and hits are confirmed on the template tokens themselves.
-The slots of confirmed windows must fit together at each place: each value of the item stands for one
-value there and the other way round, which tells re-parameterised questions from chance. A document
-leaks an item if the windows that fit, in a stretch of the item's length, cover enough of the item.
+lower-cased. A currency sign before a number counts as a unit behind it, number words after a number
+belong to it, and a capitalised word that starts a sentence is a name unless it is one that often does.
+Items with the same template whose slots repeat alike form a class, and classes are searched, not items.
+
+Windows of template tokens are joined by their hashes. Of each class only the rarest windows are in the
+table: so many that a document which holds enough of the others holds one of these. Documents are
+scanned once; a bit map of fixed size, broadcast, tells which windows may be in the table, and only
+documents with such windows go on to the hash join. Documents and classes that meet are compared on the
+template tokens themselves, and the slots must fit together at each place: each value of the item stands
+for one value there and the other way round, which tells re-parameterised questions from chance. A
+document leaks an item if the windows that fit, in a stretch of the item's length, cover enough of it.
 """
 
 from __future__ import annotations
@@ -24,17 +29,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, row_key
+from .common import checkpoint, free_name, row_key
 
 WINDOW = 5
 #: Share of an item's windows that a leak covers.
 COVER = 0.5
-#: Windows of the benchmark that are looked up at once.
-BUILD = 2_000_000
+#: The bit map has 16 bits for each window of the table, but no more than this power of two (32 MB).
+MAP_BITS = 28
 #: Characters of text that are canonicalised at once (a longer text is taken alone).
 CHARS = 1_000_000
+#: Distinct words after which a task forgets those it has seen.
+KNOWN = 1_000_000
 
-# Words read as numbers, and units where they follow a number.
+# Words read as numbers, units where they follow a number, and words that start sentences without being names.
 NUMBER_WORDS = frozenset(
     "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
     "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
@@ -44,8 +51,17 @@ UNITS = frozenset(
     "l ml liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
     "dollar dollars euro euros cent cents usd eur percent pct degree degrees c f k kelvin watt watts w kw volt volts v amp amps hz mhz ghz bit bits byte bytes kb mb gb tb mph kmh".split()
 )
+STARTERS = frozenset(
+    "a an the this that these those i you he she it we they my your his her its our their there here what which who whom whose when where why how "
+    "is are was were be do does did has have had can could will would shall should may might must let if then else so and or but nor for yet of in on at by to from with "
+    "without within into onto over under above below between among during before after since until while as than because although though however therefore thus hence "
+    "not no yes all any some each every both either neither many much more most few several other another such only also just even now once again still first next last finally "
+    "find calculate compute determine solve give given write show prove explain describe choose select name list state suppose assume consider using use".split()
+)
+CURRENCY = frozenset("$€£")
 TOKEN = re.compile(r"\d[\d.,]*\d|\d|[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?]|[%$€£°]")
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
+KINDS = {1: NAME, 2: NUM, 3: UNIT}
 P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,11 +78,20 @@ class Lexicon(dict):
         self.of: dict[str, int] = {}
         self.plain: list[str] = []
         self.hash = array("Q")
-        self.kind = array("b")  # 0 word, 1 capitalised, 2 number, 3 unit word, 4 sentence end
+        # 0 word, 1 capitalised, 2 number, 3 unit word, 4 sentence end, 5 number word, 6 capitalised word that often starts a sentence
+        self.kind = array("b")
         self.end = self.number("\n")
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        found = self[word] = tuple(map(self.number, TOKEN.findall(word)))
+        if word.isalpha():
+            found = (self.number(word),)
+        else:
+            tokens = TOKEN.findall(word)
+            for i in range(len(tokens) - 1):
+                if tokens[i] in CURRENCY and tokens[i + 1][0].isdigit():
+                    tokens[i], tokens[i + 1] = tokens[i + 1], tokens[i]
+            found = tuple(map(self.number, tokens))
+        self[word] = found
         return found
 
     def number(self, token: str) -> int:
@@ -75,12 +100,16 @@ class Lexicon(dict):
         low = token.lower()
         if token in (".", "!", "?", "\n"):
             kind = 4
-        elif token[0].isdigit() or low in NUMBER_WORDS:
+        elif token[0].isdigit():
             kind = 2
+        elif low in NUMBER_WORDS:
+            kind = 5
         elif low in UNITS or not token[0].isalpha():
             kind = 3
+        elif token[0].isupper() and len(token) > 1 and token[1:].islower():
+            kind = 6 if low in STARTERS else 1
         else:
-            kind = int(token[0].isupper() and len(token) > 1 and token[1:].islower())
+            kind = 0
         self.plain.append(low)
         self.hash.append(xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"), 1))
         self.kind.append(kind)
@@ -88,52 +117,9 @@ class Lexicon(dict):
         return n
 
 
-class Scanner(Lexicon):
-    """A lexicon that only tells the words of a benchmark apart; others share a number by kind.
-
-    Texts are scanned with it first: windows with other words match nothing. What is found is read
-    again with a full lexicon.
-    """
-
-    def __init__(self, words: set[str]) -> None:
-        self.words, self.shared = words, {}
-        super().__init__()
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        base = word.rstrip(".,;:!?")
-        low = base.lower()
-        if base.isalpha() and base[1:] == low[1:] and low not in self.words and low not in UNITS and low not in NUMBER_WORDS:
-            stops = tuple(self.end for c in word[len(base) :] if c in ".!?")
-            found = (self.other(int(base != low and len(base) > 1)), *stops)
-        else:
-            found = tuple(map(self.number, TOKEN.findall(word)))
-        self[word] = found
-        return found
-
-    def other(self, kind: int) -> int:
-        if kind not in self.shared:
-            self.shared[kind] = len(self.plain)
-            self.plain.append("")
-            self.hash.append(0)
-            self.kind.append(kind)
-        return self.shared[kind]
-
-    def number(self, token: str) -> int:
-        if token in self.of:
-            return self.of[token]
-        low = token.lower()
-        if low in self.words or token in ".!?\n" or low in UNITS:
-            return super().number(token)
-        if token[0].isdigit() or low in NUMBER_WORDS:
-            return self.other(2)
-        if not token[0].isalpha():
-            return self.other(3)
-        return self.other(int(token[0].isupper() and len(token) > 1 and token[1:].islower()))
-
-
 def canonical(texts: list[str], lexicon: Lexicon) -> dict[str, np.ndarray]:
     """Template tokens of several texts: ``doc`` (which text), ``hash``, ``slot`` (0 word, 1 name,
-    2 number, 3 unit) and ``raw`` (index of the token in the lexicon; of a name its first word)."""
+    2 number, 3 unit) and ``raw`` (index of the token in the lexicon; of a name or number its first word)."""
     ids: list[int] = []
     doc = []
     of, end = lexicon.__getitem__, lexicon.end
@@ -145,19 +131,18 @@ def canonical(texts: list[str], lexicon: Lexicon) -> dict[str, np.ndarray]:
         doc.append(len(ids) - before)
     raw = np.array(ids, dtype=np.int64)
     which = np.repeat(np.arange(len(texts)), doc)
-    kind = np.array(lexicon.kind, dtype=np.int8)[raw]
-    starts = np.ones(len(raw), dtype=bool)
-    if len(raw) > 1:
-        starts[1:] = (kind[:-1] == 4) | (which[1:] != which[:-1])
+    kind = np.frombuffer(lexicon.kind, dtype=np.int8)[raw]
+    follows = np.zeros(len(raw), dtype=bool)  # not at the start of a sentence
+    follows[1:] = (kind[:-1] != 4) & (which[1:] == which[:-1])
     slot = np.zeros(len(raw), dtype=np.int8)
-    slot[(kind == 1) & ~starts] = 1
-    slot[kind == 2] = 2
-    if len(raw) > 1:
-        slot[1:][(kind[1:] == 3) & (kind[:-1] == 2) & ~starts[1:]] = 3
+    slot[(kind == 1) | ((kind == 6) & follows)] = 1
+    number = (kind == 2) | (kind == 5)
+    slot[number] = 2
+    slot[1:][(kind[1:] == 3) & number[:-1] & follows[1:]] = 3
     keep = kind != 4
-    if len(raw) > 1:  # names of several words are one slot
-        keep[1:] &= ~((slot[1:] == 1) & (slot[:-1] == 1))
-    h = np.array(lexicon.hash, dtype=np.uint64)[raw]
+    # Names of several words are one slot, and so are numbers with the words that belong to them.
+    keep[1:] &= ~(follows[1:] & (slot[:-1] == slot[1:]) & ((slot[1:] == 1) | (kind[1:] == 5)))
+    h = np.frombuffer(lexicon.hash, dtype=np.uint64)[raw]
     for s in (1, 2, 3):
         h[slot == s] = np.uint64(s)
     return {"doc": which[keep], "hash": h[keep], "slot": slot[keep], "raw": raw[keep]}
@@ -168,7 +153,7 @@ def window_hashes(c: dict[str, np.ndarray], width: int) -> tuple[np.ndarray, np.
     n = len(c["hash"]) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
-    out = np.zeros(n, dtype=np.uint64)
+    out = np.full(n, np.uint64(width), dtype=np.uint64)
     with np.errstate(over="ignore"):
         for i in range(width):
             out = _mix(out * P + c["hash"][i : i + n])
@@ -176,34 +161,32 @@ def window_hashes(c: dict[str, np.ndarray], width: int) -> tuple[np.ndarray, np.
 
 
 class Item:
-    """The template of one benchmark item."""
+    """A class of benchmark items: template tokens, and for each slot which value of its kind it is, by
+    first appearance (-1 for words)."""
+
+    __slots__ = ("slots", "tokens", "width")
 
-    __slots__ = ("item_id", "tokens", "values", "width", "windows")
+    def __init__(self, tokens: list[str], slots: list[int], width: int) -> None:
+        self.tokens, self.slots, self.width = list(tokens), list(slots), min(width, len(tokens))
 
-    def __init__(self, item_id, text: str, width: int) -> None:
+    @classmethod
+    def read(cls, text: str, width: int) -> Item:
+        return cls.windowed(text, width)[0]
+
+    @classmethod
+    def windowed(cls, text: str, width: int) -> tuple[Item, list[int]]:
         lexicon = Lexicon()
         c = canonical([text], lexicon)
-        names = {1: NAME, 2: NUM, 3: UNIT}
-        self.item_id = item_id
-        self.values = [lexicon.plain[r] for r in c["raw"]]
-        self.tokens = [names.get(int(s), v) for s, v in zip(c["slot"], self.values, strict=True)]
-        self.width = min(width, len(self.tokens))
-        self.windows = window_hashes(c, self.width)[0].tolist() if self.width else []
-
-
-def build(items: list[Item]) -> dict[int, tuple]:
-    """By window width: sorted hashes, and the (item, position) pairs of each."""
-    by: dict[int, dict[int, list]] = {}
-    for n, item in enumerate(items):
-        for at, h in enumerate(item.windows):
-            by.setdefault(item.width, {}).setdefault(h, []).append((n, at))
-    out = {}
-    for width, table in by.items():
-        keys = np.array(sorted(table), dtype=np.uint64)
-        seen = np.zeros(1 << 20, dtype=bool)
-        seen[(keys & np.uint64(0xFFFFF)).astype(np.int64)] = True
-        out[width] = keys, table, seen
-    return out
+        values = [lexicon.plain[r] for r in c["raw"]]
+        tokens = [KINDS.get(int(s), v) for s, v in zip(c["slot"], values, strict=True)]
+        seen: dict[str, dict[str, int]] = {}
+        slots = [seen.setdefault(t, {}).setdefault(v, len(seen[t])) if s else -1 for t, v, s in zip(tokens, values, c["slot"], strict=True)]
+        item = cls(tokens, slots, width)
+        return item, window_hashes(c, item.width)[0].tolist() if item.width else []
+
+    @property
+    def windows(self) -> int:
+        return len(self.tokens) - self.width + 1 if self.tokens else 0
 
 
 def _agreeing(hits: list[tuple[int, int]], pairs: list[list[tuple]], near: list[int]) -> list[tuple[int, int]]:
@@ -231,11 +214,11 @@ def covered(hits: list[tuple[int, int]], item: Item, values: dict[int, str], tok
     item with other values do not spoil one another. The reading of the whole document is one more try.
     """
     hits = sorted(hits, key=lambda h: (h[1], h[0]))
-    pairs = [[(item.tokens[at + i], item.values[at + i], values[pos + i]) for i in range(item.width) if tokens[pos + i].startswith("<")] for at, pos in hits]
+    pairs = [[(item.tokens[at + i], item.slots[at + i], values[pos + i]) for i in range(item.width) if item.slots[at + i] >= 0] for at, pos in hits]
     best = best_cover(_agreeing(hits, pairs, [0] * len(hits)), item)
     spots, size = [pos for _, pos in hits], len(item.tokens)
     for place, _ in Counter(pos - at for at, pos in hits).most_common():
-        if best == len(item.windows):
+        if best == item.windows:
             break
         lo, hi = bisect_left(spots, place - size // 2), bisect_right(spots, place + size + size // 2)
         some = hits[lo:hi]
@@ -260,44 +243,30 @@ def best_cover(hits: list[tuple[int, int]], item: Item) -> int:
     return best
 
 
-def _hits(c: dict[str, np.ndarray], table: dict) -> dict[tuple[int, int], list]:
-    """By (text, item): the (item position, position) pairs of equal window hashes."""
-    found: dict[tuple[int, int], list] = {}
-    for width, (keys, where, seen) in table.items():
-        h, whole = window_hashes(c, width)
-        maybe = np.flatnonzero(seen[(h & np.uint64(0xFFFFF)).astype(np.int64)] & whole)
-        spot = np.minimum(np.searchsorted(keys, h[maybe]), len(keys) - 1)
-        for pos in maybe[keys[spot] == h[maybe]].tolist():
-            for n, at in where[int(h[pos])]:
-                found.setdefault((int(c["doc"][pos]), n), []).append((at, pos))
-    return found
-
-
-def _need(item: Item, cover: float) -> int:
-    return max(1, int(np.ceil(cover * len(item.windows) - 1e-9)))
-
-
-def leaks_in(texts: list[str], items: list[Item], table: dict, scanner: Scanner, cover: float) -> list[tuple[int, int, int]]:
-    """(text, item, windows covered) for each leak."""
-    seen = _hits(canonical(texts, scanner), table)
-    docs = sorted({doc for (doc, n), hits in seen.items() if len(hits) >= _need(items[n], cover)})
-    if not docs:
-        return []
-    lexicon, out = Lexicon(), []
-    c = canonical([texts[d] for d in docs], lexicon)
-    names = {1: NAME, 2: NUM, 3: UNIT}
-    for (doc, n), hits in sorted(_hits(c, table).items()):
-        item = items[n]
-        need = _need(item, cover)
-        if len(hits) < need:
-            continue
-        places = sorted({pos + i for _, pos in hits for i in range(item.width)})
-        values = {p: lexicon.plain[int(c["raw"][p])] for p in places}
-        tokens = {p: names.get(int(c["slot"][p]), values[p]) for p in places}
-        hits = [(at, pos) for at, pos in hits if all(tokens[pos + i] == item.tokens[at + i] for i in range(item.width))]
-        got = covered(hits, item, values, tokens) if len(hits) >= need else 0
-        if got >= need:
-            out.append((docs[doc], n, got))
+def _need(windows: int, cover: float) -> int:
+    return max(1, int(np.ceil(cover * windows - 1e-9)))
+
+
+def found_in(text: str, items: list[Item], cover: float) -> list[int]:
+    """Windows of each item that the text covers; 0 if they are too few for a leak."""
+    lexicon = Lexicon()
+    c = canonical([text], lexicon)
+    values = [lexicon.plain[r] for r in c["raw"]]
+    tokens = [KINDS.get(int(s), v) for s, v in zip(c["slot"], values, strict=True)]
+    by: dict[int, dict[tuple[str, ...], list[int]]] = {}
+    for width in {x.width for x in items}:
+        wanted = {tuple(x.tokens[at : at + width]) for x in items if x.width == width for at in range(x.windows)}
+        spots = by[width] = {}
+        for pos in range(len(tokens) - width + 1):
+            w = tuple(tokens[pos : pos + width])
+            if w in wanted:
+                spots.setdefault(w, []).append(pos)
+    out = []
+    for item in items:
+        spots, need = by[item.width], _need(item.windows, cover)
+        hits = [(at, pos) for at in range(item.windows) for pos in spots.get(tuple(item.tokens[at : at + item.width]), ())]
+        got = covered(hits, item, values, tokens) if len({at for at, _ in hits}) >= need else 0
+        out.append(got if got >= need else 0)
     return out
 
 
@@ -312,6 +281,68 @@ def _batches(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
+def classes(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """One row per class of items: ``class`` (a digest), ``item`` (its smallest id), ``n_items``, ``tokens,
+    slots`` and ``windows`` (structs of position and hash). Items without tokens have no class."""
+    return _classed(benchmark, item_col, item_text, window).groupBy("class").agg(
+        F.min("item").alias("item"), F.count("*").alias("n_items"), *[F.first(c).alias(c) for c in ("tokens", "slots", "windows")]
+    )
+
+
+def item_classes(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """Which item stands for each item in ``leaks``: ``item_col``, ``leads``; items without tokens are left out."""
+    each = _classed(benchmark, item_col, item_text, window).select("class", "item")
+    lead = each.groupBy("class").agg(F.min("item").alias("leads"))
+    return each.join(lead, "class").select(F.col("item").alias(item_col), "leads")
+
+
+def _classed(benchmark: DataFrame, item_col: str, item_text: str, window: int) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for i, t in zip(b["item"], b["text"], strict=True):
+                item, hashes = Item.windowed(t, window)
+                if hashes:
+                    rows.append((i, item.tokens, item.slots, [{"at": at, "h": np.uint64(h).view(np.int64)} for at, h in enumerate(hashes)]))
+            yield pd.DataFrame(rows, columns=["item", "tokens", "slots", "windows"])
+
+    some = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).where("text is not null")
+    made = some.mapInPandas(run, "item string, tokens array<string>, slots array<int>, windows array<struct<at int, h long>>")
+    kind = benchmark.schema[item_col].dataType
+    digest = F.sha2(F.concat(F.array_join("tokens", "\n"), F.lit("\n\n"), F.array_join(F.col("slots").cast("array<string>"), " ")), 256)
+    return made.withColumn("class", digest).withColumn("item", F.col("item").cast(kind))
+
+
+def _lookups(kinds: DataFrame, cover: float) -> DataFrame:
+    """``h, class``: of each class the rarest windows, one more than a document that leaks it may lack."""
+    each = kinds.select("class", F.size("windows").alias("n"), F.explode("windows").alias("w")).select("class", "n", "w.h", "w.at")
+    common = each.groupBy("h").agg(F.count("*").alias("many"))
+    row = F.struct("many", "h", "at")
+    per = each.join(common, "h").groupBy("class", "n").agg(F.sort_array(F.collect_list(row)).alias("w"))
+    need = F.greatest(F.lit(1), F.ceil(F.lit(cover) * F.col("n") - 1e-9))
+    first = F.slice("w", F.lit(1), (F.col("n") - need + 1).cast("int"))
+    return per.select("class", F.explode(F.array_distinct(F.transform(first, lambda w: w["h"]))).alias("h"))
+
+
+def _bit_map(lookups: DataFrame, bits: int) -> np.ndarray:
+    """Bytes of a map with two bits set for each hash; what comes to the driver is one long per word of it."""
+    word = lambda at: F.shiftrightunsigned(at, 6)
+    at = F.explode(F.array(*_places(F.col("h"), bits)))
+    spots = lookups.select(at.alias("at"))
+    words = spots.groupBy(word(F.col("at")).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    out = np.zeros(1 << (bits - 6), dtype=np.int64)
+    found = words.toPandas()
+    out[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64)
+    return out.view(np.uint64)
+
+
+def _places(h, bits: int) -> list:
+    """Two places in the map for a hash, of a column or of an array of unsigned numbers."""
+    if isinstance(h, np.ndarray):
+        return [h >> np.uint64(64 - bits), h & np.uint64((1 << bits) - 1)]
+    return [F.shiftrightunsigned(h, 64 - bits), h.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))]
+
+
 def leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -322,53 +353,67 @@ def leaks(
     window: int = WINDOW,
     cover: float = COVER,
 ) -> DataFrame:
-    """One row per document and benchmark item that it leaks: id, item, ``windows_found``,
-    ``windows, coverage``, and the ``row_key`` of the document's row.
+    """One row per document and class of benchmark items that it leaks: id, the class's smallest item id,
+    ``n_items`` (items of the class), ``windows_found, windows, coverage``, and the ``row_key`` of the row.
 
-    Null and empty texts and items leak nothing; items shorter than a window are one window.
-    Repeated rows and repeated items each give their rows; ids may be null. Empty tables give an
-    empty result. Columns other than id and text are ignored. Whole texts are searched.
+    A class is given once, however many items it has: ``item_classes`` tells them. Null and empty texts
+    and items leak nothing; items shorter than a window are one window. Repeated rows each give their
+    rows; ids may be null. Empty tables give an empty result. Columns other than id and text are ignored,
+    whatever their names. Whole texts are searched.
     """
-    items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).where("t is not null")
-    out, block, size = None, [], 0
-
-    def search(block: list[tuple]) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            own = [Item(i, t, window) for i, t in shared.value]
-            table, words = build(own), {w for x in own for w in x.values}
-            scanner = Scanner(words)
-            for b in batches:
-                texts = [t or "" for t in b["text"]]
-                rows = []
-                for lo, hi in _batches(texts):
-                    if len(scanner) > 1_000_000:
-                        scanner = Scanner(words)
-                    for d, n, got in leaks_in(texts[lo:hi], own, table, scanner, cover):
-                        rows.append((b["id"].iloc[lo + d], b["key"].iloc[lo + d], own[n].item_id, got, len(own[n].windows)))
-                yield pd.DataFrame(rows, columns=["id", "key", "item", "found", "windows"])
-
-        slim = docs.select(F.col(id_col).cast("string").alias("id"), row_key(F.col(id_col), F.col(text)).alias("key"), F.col(text).alias("text"))
-        return slim.mapInPandas(run, "id string, key string, item string, found long, windows long")
-
-    # The benchmark streams through the driver, a block of bounded size at a time.
-    for row in items.toLocalIterator():
-        item = Item(None if row["i"] is None else str(row["i"]), row["t"], window)
-        if not item.windows:
-            continue
-        block.append((item.item_id, row["t"]))
-        size += len(item.windows)
-        if size >= BUILD:
-            part = search(block)
-            out, block, size = part if out is None else out.unionByName(part), [], 0
-    if block or out is None:
-        part = search(block)
-        out = part if out is None else out.unionByName(part)
-    kinds = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
+    spark = docs.sparkSession
+    kinds = checkpoint(classes(benchmark, item_col, item_text, window))
+    lookups = checkpoint(_lookups(kinds, cover))
+    widths = sorted(r[0] for r in kinds.select(F.least(F.size("tokens"), F.lit(window))).distinct().collect())
+    bits = min(MAP_BITS, max(16, int(lookups.count() * 16).bit_length()))
+    shared = spark.sparkContext.broadcast((_bit_map(lookups, bits), bits, widths))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bit_map, bits, widths = shared.value
+        lexicon = Lexicon()
+        for b in batches:
+            texts, rows = b["text"].tolist(), []
+            for lo, hi in _batches(texts):
+                if len(lexicon) > KNOWN:
+                    lexicon = Lexicon()
+                c = canonical(texts[lo:hi], lexicon)
+                found: dict[int, list[np.ndarray]] = {}
+                for width in widths:
+                    h, whole = window_hashes(c, width)
+                    for at in _places(h, bits):
+                        whole &= (bit_map[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+                    hit = np.flatnonzero(whole)
+                    which, first = np.unique(c["doc"][hit], return_index=True)
+                    for d, part in zip(which.tolist(), np.split(h[hit], first[1:]), strict=True) if len(hit) else ():
+                        found.setdefault(d, []).append(part)
+                for d, parts in found.items():
+                    n = lo + d
+                    rows.append((b["uid"].iloc[n], b["id"].iloc[n], b["key"].iloc[n], texts[n], np.unique(np.concatenate(parts)).view(np.int64)))
+            yield pd.DataFrame(rows, columns=["uid", "id", "key", "text", "h"])
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for r in b.itertuples(index=False):
+                items = [Item(x["tokens"], x["slots"], window) for x in r.kinds]
+                for x, item, got in zip(r.kinds, items, found_in(r.text, items, cover), strict=True):
+                    if got:
+                        rows.append((r.id, r.key, x["class"], got, item.windows))
+            yield pd.DataFrame(rows, columns=["id", "key", "class", "found", "windows"])
+
+    slim = docs.select(F.col(id_col).cast("string").alias("id"), row_key(F.col(id_col), F.col(text)).alias("key"), F.col(text).alias("text"))
+    slim = slim.withColumn("uid", F.monotonically_increasing_id()).where(F.length("text") > 0)
+    maybe = checkpoint(slim.mapInPandas(scan, "uid long, id string, key string, text string, h array<long>"))
+    met = maybe.select("uid", F.explode("h").alias("h")).join(lookups, "h").select("uid", "class").distinct()
+    one = F.struct("class", "tokens", "slots").alias("kind")
+    per = met.join(kinds.select("class", one), "class").groupBy("uid").agg(F.collect_list("kind").alias("kinds"))
+    rows = maybe.drop("h").join(per, "uid").select("id", "key", "text", "kinds")
+    out = rows.mapInPandas(compare, "id string, key string, class string, found long, windows long")
+    out = out.join(kinds.select("class", "item", "n_items"), "class")
     return out.select(
-        F.col("id").cast(kinds[0]).alias(id_col),
-        F.col("item").cast(kinds[1]).alias(item_col),
+        F.col("id").cast(docs.schema[id_col].dataType).alias(id_col),
+        F.col("item").alias(item_col),
+        "n_items",
         F.col("found").alias("windows_found"),
         "windows",
         (F.col("found") / F.col("windows")).alias("coverage"),

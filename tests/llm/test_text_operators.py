@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from shelfmark.llm import boosting, decontaminate, dom, html_extract, pii, quality, token_counts, url_filter, warc
+from shelfmark.llm import boosting, dom, html_extract, pii, quality, token_counts, url_filter, warc
 
 
 # URL filters -----------------------------------------------------------------------------------
@@ -88,63 +88,6 @@ def test_token_counts_against_brute_force(spark, rule):
     assert token_counts.section_tokens(df.limit(0)).count() == 0
 
 
-# Decontamination -------------------------------------------------------------------------------
-
-ITEM = "A train leaves Paris at 9 km with 120 people and meets Anna Smith after 35 minutes near the old bridge of stone. How far did it go?"
-
-
-def test_templates():
-    item = decontaminate.Item(1, "Mr Smith paid 20 dollars. Then New York paid twenty.", 5)
-    assert item.tokens == ["mr", "<name>", "paid", "<num>", "<unit>", "then", "<name>", "paid", "<num>"]
-    assert decontaminate.Item(1, "", 5).windows == [] and len(decontaminate.Item(1, "two words", 5).windows) == 1
-
-
-def test_leaks(spark):
-    other = ITEM.replace("Paris", "Rome").replace("120", "77").replace("Anna Smith", "Bob").replace("35", "12").replace("9 km", "4 km")
-    clean = "This text shares some words with the old bridge of stone and a train that leaves at noon but nothing else of it."
-    mixed = ITEM.upper() + "!!"
-    rows = [(1, "before " + ITEM + " after"), (2, "x y. " + other), (3, clean), (4, None), (5, ""), (6, ITEM[: len(ITEM) // 3]), (1, "before " + ITEM + " after"), (None, ITEM), (8, mixed), (9, "w " * 300000 + ITEM)]
-    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, item_id string")
-    bench = spark.createDataFrame([(7, ITEM), (8, None), (9, ""), (10, "something wholly different that no document holds at all")], "item_id long, text string")
-    got = decontaminate.leaks(df, bench).collect()
-    assert sorted((str(r.doc_id), r.item_id) for r in got) == [("1", 7), ("1", 7), ("2", 7), ("8", 7), ("9", 7), ("None", 7)]
-    kept = decontaminate.drop_leaks(df, bench)
-    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6]
-    assert decontaminate.leaks(df, bench.limit(0)).count() == 0 and decontaminate.leaks(df.limit(0), bench).count() == 0
-
-
-def test_slots_must_agree():
-    base = "the value {} is added to {} and then {} is taken from {} in the end by her"
-    item = decontaminate.Item(1, base.format(5, 8, 5, 8), 5)
-    table = decontaminate.build([item])
-    look = lambda t: decontaminate.leaks_in([t], [item], table, decontaminate.Scanner(set(item.values)), 0.9)
-    assert look(base.format(3, 4, 3, 4)) and not look(base.format(3, 4, 6, 7))
-
-
-def test_slots_agree_by_place():
-    """An item is found whatever other values it stands with elsewhere in the document."""
-    base = "the value {} is added to {} and then {} is taken from {} in the end by her"
-    item = decontaminate.Item(1, base.format(20, 30, 40, 50), 5)
-    table, rnd = decontaminate.build([item]), random.Random(6)
-    look = lambda t: decontaminate.leaks_in([t], [item], table, decontaminate.Scanner(set(item.values)), 0.5)
-    for gap in (" " + "w " * 200, ". ", "\n"):
-        assert look(gap.join([base.format(20, 30, 40, 50), base.format(21, 29, 41, 49)])) == [(0, 0, len(item.windows))]
-        for n in (1, 2, 10):
-            texts = [base.format(20, 30, 40, 50), *[base.format(*rnd.sample(range(60), 4)) for _ in range(n)]]
-            rnd.shuffle(texts)
-            assert look(gap.join(texts)) == [(0, 0, len(item.windows))]
-
-
-def test_blocks_of_the_benchmark(spark, sf, monkeypatch):
-    df, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
-    whole = {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()}
-    items = [(r.item_id, r.text) for r in bench.collect()]
-    plain = {(d.doc_id, i) for d in df.collect() for i, t in items if t in d.text}
-    assert plain and plain <= whole
-    monkeypatch.setattr(decontaminate, "BUILD", 100)
-    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()} == whole
-
-
 # Quality ---------------------------------------------------------------------------------------
 
 
