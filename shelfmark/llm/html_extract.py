@@ -41,6 +41,8 @@ WORDS = {
 }
 GROUPS = {k: frozenset(v.split()) for k, v in WORDS.items()}
 OPEN_TAGS = ("nav", "header", "footer", "aside", "form", "article", "main", "li", "table")
+#: Blocks of running text.
+TEXTUAL = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 ul ol dl table figure div section".split())
 #: Characters of its own from which a node without many links counts as prose.
 PROSE = 80
 RAISES = (1, 2, 3, 4)
@@ -130,6 +132,29 @@ class Nodes:
                 at += s[k, 0]
         chars, words, stops, linked, links, elements, direct, _ = s.T
         one = np.maximum(chars, 1)
+        # What stands beside a node: its neighbours, and all siblings with running text.
+        heading = np.array([len(t) == 2 and t[0] == "h" and t[1].isdigit() for t in tags])
+        textual = np.array([t in TEXTUAL for t in tags]) & (linked < 0.5 * one) & (chars > 0)
+        beside = np.zeros((n, 9))
+        for p in range(n):
+            row = kids[p]
+            if not row:
+                continue
+            text = np.where(textual[row], chars[row], 0.0)
+            every, share = text.sum(), max(1.0, s[p, 0])
+            for i, k in enumerate(row):
+                before_, after = row[i - 1] if i else 0, row[i + 1] if i + 1 < len(row) else 0
+                beside[k] = (
+                    math.log1p(chars[before_]) if before_ else -1,
+                    math.log1p(chars[after]) if after else -1,
+                    bool(before_) and textual[before_],
+                    bool(after) and textual[after],
+                    bool(after) and heading[after],
+                    bool(before_) and heading[before_],
+                    math.log1p(every - text[i]),
+                    (every - text[i]) / share,
+                    len(row),
+                )
         columns = [
             depth,
             np.log1p(chars),
@@ -147,7 +172,7 @@ class Nodes:
             np.array([len(k) for k in kids], dtype=np.float64),
         ]
         which = np.array([[t == x for x in TAGS] for t in tags], dtype=np.float64)
-        return np.concatenate([np.stack(columns, axis=1), place, which, own, seen], axis=1)
+        return np.concatenate([np.stack(columns, axis=1), place, beside, which, own, seen], axis=1)
 
 
 def decode(parent: list[int], p: np.ndarray, start: int, weight: np.ndarray) -> np.ndarray:

@@ -120,7 +120,58 @@ class _Page:
         tag = self.pick(["article", "article", "main", "section"]) if self.semantic and self.chance(0.85) else "div"
         return f'<{tag} data-y="1"{self.attr(MAIN_NAMES, 0.6 if tag != "div" else 0.9)}>{"".join(parts)}</{tag}>'
 
+    def block(self) -> str:
+        """One block of running text, of any kind and length."""
+        k, r = self.rng.random(), self.rng
+        if k < 0.5:
+            return f"<p>{self.words(1, 4) + '.' if self.chance(0.3) else self.prose(4, 60)}</p>"
+        if k < 0.62:
+            return f"<{(h := self.pick(['h2', 'h2', 'h3', 'h4']))}>{self.words(1, 6)}</{h}>"
+        if k < 0.74:
+            lines = [self.words(1, 7).replace(".", ";") for _ in range(int(r.integers(1, 9)))]
+            code = self.pick(["\n", "\n    "]).join(self.pick(["{}", "{} = 1", "if ({}) {{", "$ {}", "{}();"]).format(x) for x in lines)
+            return f"<pre><code>{code}</code></pre>" if self.chance(0.5) else f"<pre>{code}</pre>"
+        if k < 0.82:
+            kind = self.pick(["ul", "ol"])
+            return f"<{kind}>" + "".join(f"<li>{self.words(1, 14)}</li>" for _ in range(int(r.integers(1, 6)))) + f"</{kind}>"
+        if k < 0.87:
+            return f"<blockquote><p>{self.prose(4, 30)}</p></blockquote>" if self.chance(0.6) else f"<blockquote>{self.prose(4, 30)}</blockquote>"
+        if k < 0.91:
+            rows = "".join(f"<tr><td>{self.words(1, 3)}</td><td>{self.words(1, 3)}</td></tr>" for _ in range(int(r.integers(1, 5))))
+            return f"<table>{rows}</table>"
+        if k < 0.94:
+            return "<dl>" + "".join(f"<dt>{self.words(1, 3)}</dt><dd>{self.words(2, 12)}</dd>" for _ in range(int(r.integers(1, 4)))) + "</dl>"
+        if k < 0.97:
+            return f"<figure><img src=x><figcaption>{self.words(2, 10)}</figcaption></figure>"
+        return f"<div>{self.prose(4, 50)}</div>"
+
+    def bare_page(self) -> str:
+        """A page whose text stands in a container without a name, or in none, with little or nothing around it."""
+        parts = []
+        if self.chance(0.7):
+            title = f"<h1>{self.words(1, 8)}</h1>"
+            parts.append(f'<header data-y="1">{title}</header>' if self.semantic and self.chance(0.25) else title)
+        if self.chance(0.15):  # paragraphs that are plain divisions
+            parts += [f"<div>{self.prose(3, 60)}</div>" for _ in range(int(self.rng.integers(1, 7)))]
+        else:
+            parts += [self.block() for _ in range(int(self.rng.choice([1, 2, 2, 3, 3, 4, 6, 9, 15])))]
+        text = "".join(parts)
+        if self.chance(0.4):  # sections
+            text = f"<{(t := self.pick(['section', 'div']))}>{text}</{t}>" + "".join(f"<{t}><h2>{self.words(1, 5)}</h2>{self.block()}{self.block()}</{t}>" for _ in range(int(self.rng.integers(0, 3))))
+        where = self.pick(["main", "article", "div", "div", "div", "section", ""]) if self.semantic else self.pick(["div", "div", ""])
+        # Without a container each block carries the label.
+        text = f'<{where} data-y="1">{text}</{where}>' if where else f'<body data-y="1">{text}'
+        before = [self.junk(k) for k, p in (("header", 0.2), ("nav", 0.35)) if self.chance(p)]
+        after = [self.junk(k) for k, p in (("comments", 0.1), ("side", 0.1), ("footer", 0.35)) if self.chance(p)]
+        for _ in range(int(self.rng.integers(0, 2))):
+            text = f"<div>{text}</div>" if where else text
+        if not where:
+            return f"<html>{text}{''.join(before)}{''.join(after)}</body></html>"
+        return self.pick(["<html><body>{}</body></html>", "{}", "<!DOCTYPE html><body>{}"]).format("".join(before) + text + "".join(after))
+
     def page(self) -> str:
+        if self.chance(0.4):
+            return self.bare_page()
         top = [self.junk(k) for k, p in (("notice", 0.25), ("header", 0.5), ("nav", 0.7), ("form", 0.15), ("ad", 0.4)) if self.chance(p)]
         middle = [self.article()]
         if self.chance(0.1):
