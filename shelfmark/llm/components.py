@@ -15,8 +15,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     (edges with a null end are ignored). Returns ``node, comp`` for every node that has an edge to
     another node; an empty edge list gives an empty table. A step only takes minima per node
     (combined before the shuffle) and joins them back, so a node with very many neighbours is
-    never gathered in one place; skewed joins are split by the adaptive engine. The lineage is cut
-    in the shared checkpoint folder after each step.
+    never gathered in one place: minima are written out first, so both sides of the join are dealt
+    anew and the adaptive engine can split a node's part (a join on top of an aggregate it cannot).
+    The lineage is cut in the shared checkpoint folder after each step.
     """
     e = (
         edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
@@ -29,10 +30,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while seen[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = (
-            both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        ).distinct()
-        root = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = both.join(checkpoint(least), "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = checkpoint(large.distinct())
+        root = checkpoint(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(root, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = checkpoint(small.unionByName(root.select("a", F.col("m").alias("b"))).distinct())
         now = _digest(e)
