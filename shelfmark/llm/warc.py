@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import shared_folder
+from .common import checkpoint, shared_folder
 
 #: Payloads from this size are written once and revisited.
 LEAST = 100
@@ -192,10 +192,12 @@ def _with_decisions(pages: DataFrame, id_col: str, url: str, html: str, least: i
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("key", F.concat_ws(":", "digest", F.col("page").cast("string")))
     big = rows.where(F.octet_length("payload") >= least).select("page", "digest", "key")
     each = big.groupBy("key").agg(F.min("page").alias("page"), F.min("digest").alias("digest"), F.count("*").alias("n"))
+    # Both are written out, so that the join's sides are dealt anew and a hot digest's part can be split.
+    each = checkpoint(each)
     low = each.groupBy("digest").agg(F.min(F.struct(F.col("page").isNull().alias("none"), "page")).alias("low"), F.sum("n").alias("all"))
     low = low.where(F.col("all") > 1).select("digest", F.col("low.page").alias("first"))
+    same = each.select("key", "digest").join(checkpoint(low), "digest").select(F.col("key").alias("d_key"), "first")
     # Only pages with equals are joined back, by page and digest: no key of that join is hot.
-    same = each.join(low, "digest").select(F.col("key").alias("d_key"), "first")
     out = rows.join(same, rows.key == same.d_key, "left")
     nth = F.row_number().over(W.partitionBy("key").orderBy("url"))
     lead = F.col("page").eqNullSafe(F.col("first")) & (nth == 1)
