@@ -39,7 +39,11 @@ META = """
         replace(p_name, ' ', '-') || '-' || CAST(p_partkey % 97 AS STRING) AS attr,
         replace(p_name, ' ', '-') || '-' || CAST(p_size AS STRING) AS name,
         lower(p_type) || ' item from ' || p_brand AS description,
-        CASE WHEN p_partkey % 4 = 0 THEN split_part(p_name, ' ', 2) END AS main_program
+        CASE WHEN p_partkey % 4 = 0 THEN split_part(p_name, ' ', 2) END AS main_program,
+        CASE WHEN p_partkey % 3 = 0 THEN 'MIT' WHEN p_partkey % 3 = 1 THEN 'GPL-3.0' END AS license,
+        'https://' || lower(p_brand) || '.example' AS homepage,
+        split(lower(p_brand), '#') AS maintainers,
+        split('x86 arm', ' ') AS platforms
     FROM part
 """
 REFS = """

@@ -54,7 +54,7 @@ def text_line(attr: Column, size: Column, kind: Column, path: Column) -> Column:
 
 def highlighted(path: Column, pattern: str) -> Column:
     """Marks all matches of a (Java) pattern with terminal colour codes; empty matches stay."""
-    return F.regexp_replace(path, f"((?=[\\s\\S])(?:{pattern}))(?<!^$)", "\x1b[1;31m$1\x1b[0m")
+    return F.regexp_replace(path, f"((?=[\\s\\S])(?:{pattern}))(?<!^$)", "\x1b[31m$1\x1b[0m")
 
 
 def trigrams(text: Column) -> Column:
@@ -74,7 +74,8 @@ def percent_encoded(value: Column) -> Column:
 
 
 def cache_digest(header: Column) -> Column:
-    return F.sha2(F.coalesce(header, F.lit("unknown")), 256)
+    """A digest of a version token; without one the word ``unknown`` as it is."""
+    return F.coalesce(F.sha2(header, 256), F.lit("unknown"))
 
 
 def main_program_ok(name: Column) -> Column:

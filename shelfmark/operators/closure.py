@@ -22,19 +22,19 @@ def registered_roots(roots: DataFrame) -> DataFrame:
 def reachable(roots: DataFrame, refs: DataFrame, most: int = 10_000) -> DataFrame:
     """``hash, depth``: breadth-first from the roots, each hash once; cycles are no problem.
 
-    Each round joins the frontier to the references and drops what was seen; the lineage is cut with
-    a checkpoint, and only a count comes to the driver.
+    Each round joins the frontier to the references and drops what was seen. References are written
+    out once; a round writes its frontier only, as a table of its own, so what is written grows with
+    the result and not with its square. Only a count comes to the driver; more than ``most`` rounds
+    are an error.
     """
-    edges = refs.select("src_hash", "dst_hash").where("src_hash <> dst_hash").distinct()
-    seen = cut(roots.select("hash", F.lit(0).alias("depth")).distinct())
-    front, depth = seen.select("hash"), 0
-    while depth < most:
-        depth += 1
+    edges = cut(refs.select("src_hash", "dst_hash").where("src_hash <> dst_hash").distinct())
+    seen = front = cut(roots.select("hash", F.lit(0).alias("depth")).distinct())
+    for depth in range(1, most + 1):
         step = front.join(edges, front.hash == edges.src_hash).select(F.col("dst_hash").alias("hash")).distinct()
-        front = cut(step.join(seen, "hash", "left_anti"))
+        front = cut(step.join(seen, "hash", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             return seen
-        seen = cut(seen.unionByName(front.withColumn("depth", F.lit(depth))))
+        seen = seen.unionByName(front)
     raise RuntimeError(f"more than {most} rounds")
 
 

@@ -8,6 +8,7 @@ from enum import StrEnum
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import text as fn
 from ..schema import KINDS
 from .regex import check_length, literals, quoted, to_java
 
@@ -26,7 +27,8 @@ class FileSort(StrEnum):
 @dataclass(frozen=True)
 class LocateQuery:
     """What to look for among files. ``package`` filters package names (a regular expression if
-    ``regex``), sizes are inclusive bytes, ``types`` empty means all."""
+    ``regex``), sizes are inclusive bytes, ``types`` empty means all. ``basename`` is the exact last part
+    of the path, ``path_prefix`` what the path starts with, ``labels`` the packages to look at (empty: all)."""
 
     pattern: str
     regex: bool = False
@@ -44,6 +46,9 @@ class LocateQuery:
     max_size: int | None = None
     exclude_fhs: bool = False
     ignore_case: bool = False
+    basename: str | None = None
+    path_prefix: str | None = None
+    labels: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
         check_length(self.pattern)
@@ -105,6 +110,10 @@ def group_predicate(q: LocateQuery, path: Column) -> Column:
 
 def file_predicate(q: LocateQuery, path: Column, kind: Column, size: Column) -> Column:
     out = path_predicate(q, path)
+    if q.basename is not None:
+        out = out & (fn.basename(path) == q.basename)
+    if q.path_prefix:
+        out = out & path.startswith(q.path_prefix)
     if q.types:
         out = out & kind.isin(*q.types)
     if q.min_size is not None:
@@ -114,8 +123,10 @@ def file_predicate(q: LocateQuery, path: Column, kind: Column, size: Column) ->
     return out & group_predicate(q, path) if q.grouped else out
 
 
-def package_predicate(q: LocateQuery, name: Column, hash_: Column, toplevel: Column) -> Column:
+def package_predicate(q: LocateQuery, name: Column, hash_: Column, toplevel: Column, label: Column | None = None) -> Column:
     out = F.lit(True)
+    if q.labels and label is not None:
+        out = out & label.isin(*q.labels)
     if q.package is not None:
         check_length(q.package)
         out = out & (name.rlike(to_java(q.package)) if q.regex else name.contains(q.package))
@@ -128,6 +139,37 @@ def package_predicate(q: LocateQuery, name: Column, hash_: Column, toplevel: Col
     return out
 
 
+class Access(StrEnum):
+    """The table that a query's entries are read from, most specific first."""
+
+    PATH = "path"  # entries sorted by path: one path, or those with a prefix
+    BASENAME = "basename"  # entries sorted by basename
+    TRIGRAMS = "trigrams"  # paths that hold all trigrams of the query's literals
+    PATHS = "paths"  # distinct paths, for literals too short for trigrams
+    SCAN = "scan"
+
+
+def fixed_texts(q: LocateQuery) -> tuple[str, ...]:
+    """Literals that the path of every hit contains."""
+    if q.ignore_case:
+        return ()
+    if q.regex:
+        return tuple(dict.fromkeys(x for x in literals(q.pattern) if x))
+    return (q.pattern,) if q.pattern else ()
+
+
+def access_of(q: LocateQuery) -> Access:
+    if not q.regex and not q.ignore_case and q.at_root or q.path_prefix:
+        return Access.PATH
+    # A whole name with a slash in it gives the basename away.
+    if q.basename is not None or (q.whole_name and not q.regex and not q.ignore_case and "/" in q.pattern):
+        return Access.BASENAME
+    texts = fixed_texts(q)
+    if any(len(t.encode()) >= 3 for t in texts):
+        return Access.TRIGRAMS
+    return Access.PATHS if texts else Access.SCAN
+
+
 class Field(StrEnum):
     ATTR = "attr"
     DESCRIPTION = "description"

@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .catalog import BuildOptions, Catalog
 from .derived import derive, prelude
 from .functions import text as fn
 from .operators import closure, commands, incremental, locate, metasearch, textindex
-from .plans.query import Field, FileSort, LocateQuery, MetaQuery, MetaSort
+from .plans.query import Access, Field, FileSort, LocateQuery, MetaQuery, MetaSort, access_of
+from .plans.regex import literals
 from .sources import archive, evaluation, listings
 from .storage import shared_folder
 
@@ -30,10 +32,35 @@ COLUMNS = ("pkg_id", "path", "label", "kind", "size", "store_path")
 SHORT = "p.pkg_id, f.path, p.attr || '.' || p.output AS label, f.kind, f.size, '/store/' || p.hash || '-' || p.name AS store_path"
 
 
-def _locate(name: str, q: LocateQuery, where: str, tail: str = "") -> None:
+_built: dict[tuple[str, str], Catalog] = {}
+
+
+def built(spark: SparkSession, sf_dir: str, *indexes: str) -> Catalog:
+    """The catalog derived from the tables below ``sf_dir``, on disk; built once in a session, each index
+    when it is first asked for."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _built:
+        packages, files, meta = derive(spark, sf_dir, "packages", "files", "package_meta")
+        path = f"{shared_folder(spark).rstrip('/')}/catalog-{uuid.uuid4().hex}"
+        _built[key] = Catalog.build(spark, path, packages, files, meta, BuildOptions(indexes=()))
+    missing = tuple(n for n in indexes if not _built[key].has(n))
+    if missing:
+        _built[key].build_indexes(missing)
+    return _built[key]
+
+
+def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
+    """Tables of the built catalog; references are derived."""
+    c = built(spark, sf_dir)
+    return [derive(spark, sf_dir, n)[0] if n == "refs" else c.table(n).drop("basename") if n == "files" else c.table(n) for n in names]
+
+
+NEEDS = {Access.PATH: ("path_entries",), Access.TRIGRAMS: ("path_trigrams", "path_entries"), Access.PATHS: ("path_dict", "path_entries")}
+
+
+def _locate(name: str, q: LocateQuery, where: str, tail: str = "", access: Access | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        files, packages = derive(spark, sf_dir, "files", "packages")
-        return locate.locate(files, packages, q).select(*COLUMNS)
+        return built(spark, sf_dir, *NEEDS.get(access or access_of(q), ())).locate(q, access).select(*COLUMNS)
 
     register(name, run, f"SELECT {SHORT} {FROM} WHERE {where} {tail}", ("packages", "files"))
 
@@ -59,27 +86,42 @@ _locate("locate_sort_size_limit", Q("bin/", all=True, sort=FileSort.SIZE_DESC, l
 _locate("locate_sort_attr_limit", Q("lib", sort=FileSort.ATTR_ASC, limit=50, group=False), "contains(f.path, 'lib') AND p.toplevel", "ORDER BY p.attr, p.pkg_id, f.path LIMIT 50")
 
 
-def _files(run_on, name: str, sql: str, *tables: str) -> None:
+_locate("locate_scan", Q("lib/gear3", all=True, group=False), "contains(f.path, 'lib/gear3')", access=Access.SCAN)
+_locate("locate_via_trigram", Q("lib/gear3", all=True, group=False), "contains(f.path, 'lib/gear3')", access=Access.TRIGRAMS)
+_locate("locate_via_basename", Q("nested/rod4", whole_name=True, all=True), "ends_with(f.path, 'nested/rod4')", access=Access.BASENAME)
+_locate("locate_via_path_prefix", Q("share/man/", at_root=True, all=True, group=False), "starts_with(f.path, '/share/man/')", access=Access.PATH)
+_locate("locate_via_paths", Q("g2", all=True, group=False), "contains(f.path, 'g2')", access=Access.PATHS)
+_locate("locate_exact_basename", Q("", basename="bolt1", all=True, group=False), "regexp_extract(f.path, '[^/]*$') = 'bolt1'")
+_locate("locate_labels", Q("bin/", labels=("blue-ring-41.out", "hot-gear-39.out"), all=True, group=False), "contains(f.path, 'bin/') AND p.attr || '.' || p.output IN ('blue-ring-41.out', 'hot-gear-39.out')")
+_locate("regex_posix_class", Q("bin/[[:alpha:]]+$", regex=True, all=True, group=False), "regexp_matches(f.path, 'bin/[A-Za-z]+$')")
+_locate("regex_posix_negated", Q("lib/[[:^digit:]]*[[:digit:]]", regex=True, all=True, group=False), "regexp_matches(f.path, 'lib/[^0-9]*[0-9]')")
+_locate("regex_class_intersection", Q("sbin/[a-z&&[^b-g]]+[0-9]?$", regex=True, all=True, group=False), "regexp_matches(f.path, 'sbin/[ah-z]+[0-9]?$')")
+_locate("regex_named_group", Q("(?P<dir>s?bin)/r(?<name>od|ing)", regex=True, all=True, group=False), "regexp_matches(f.path, 's?bin/r(od|ing)')")
+_locate("regex_flags", Q("(?i)BIN/(?-i:rod)", regex=True, all=True, group=False), "regexp_matches(f.path, '[bB][iI][nN]/rod')")
+
+
+def _files(run_on, name: str, sql: str, *names: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return run_on(*derive(spark, sf_dir, *tables))
+        return run_on(*tables(spark, sf_dir, *names))
 
-    register(name, run, sql, tables)
+    register(name, run, sql, names)
+
+
+def _catalog(run_on, name: str, sql: str, indexes: tuple[str, ...] = (), names: tuple[str, ...] = ("files", "packages")) -> None:
+    register(name, lambda spark, sf_dir: run_on(built(spark, sf_dir, *indexes)), sql, names)
 
 
 FP = ("files", "packages")
-_files(lambda f, p: locate.locate(f, p, Q("share/", minimal=True)), "locate_minimal", "SELECT DISTINCT p.attr || '.' || p.output AS label FROM files f JOIN packages p USING (pkg_id) WHERE contains(f.path, 'share/')", *FP)
+_files(lambda f, p: locate.locate(f, p, Q("share/", minimal=True)), "locate_minimal", "SELECT DISTINCT CASE WHEN toplevel THEN attr || '.' || output ELSE '(' || attr || '.' || output || ')' END AS label FROM files f JOIN packages p USING (pkg_id) WHERE contains(f.path, 'share/')", *FP)
 _files(lambda f, p: locate.count(f, p, Q("bin/", all=True, group=False)), "locate_count", "SELECT count(*) AS n FROM files f JOIN packages p USING (pkg_id) WHERE contains(f.path, 'bin/')", *FP)
-_files(
-    lambda f, p: locate.locate(f, p, Q("", all=True)).where(fn.basename(F.col("path")) == "bolt1").select(*COLUMNS),
-    "locate_exact_basename", f"SELECT {SHORT} {FROM} WHERE regexp_extract(f.path, '[^/]*$') = 'bolt1'", *FP,
-)
 _files(lambda f: textindex.basename_prefix_packages(f, "gear"), "locate_basename_prefix", "SELECT DISTINCT pkg_id FROM files WHERE starts_with(regexp_extract(path, '[^/]*$'), 'gear')", "files")
 _files(
     lambda f, p, m: locate.json_lines(locate.enriched(locate.locate(f, p, Q("/usr/bin/", all=True)), m)),
     "locate_json_enriched",
-    """SELECT '{"attr":"' || p.attr || '","output":"' || p.output || '","toplevel":' || CASE WHEN p.toplevel THEN 'true' ELSE 'false' END
-        || ',"store_path":"/store/' || p.hash || '-' || p.name || '","path":"' || f.path || '","size":' || f.size || ',"description":"' || m.description || '"'
-        || CASE WHEN m.main_program IS NULL THEN '' ELSE ',"main_program":"' || m.main_program || '"' END || ',"type":"' || f.kind || '"}' AS line
+    """SELECT '{"attr":"' || CASE WHEN p.toplevel THEN p.attr || '.' || p.output ELSE '(' || p.attr || '.' || p.output || ')' END || '","size":' || CASE WHEN f.kind = 's' THEN 0 ELSE f.size END
+        || ',"type":"' || f.kind || '","path":"' || f.path || '","store_path":"/store/' || p.hash || '-' || p.name || '","description":"' || m.description || '"'
+        || CASE WHEN m.license IS NULL THEN '' ELSE ',"license":"' || m.license || '"' END || ',"homepage":"' || m.homepage || '","maintainers":["' || array_to_string(m.maintainers, '","') || '"],"platforms":["x86","arm"]'
+        || CASE WHEN m.main_program IS NULL THEN '' ELSE ',"main_program":"' || m.main_program || '"' END || '}' AS line
     FROM files f JOIN packages p USING (pkg_id)
     LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY lower(attr) ORDER BY meta_ord) AS nth FROM package_meta) m ON lower(m.attr) = lower(p.attr) AND nth = 1
     WHERE contains(f.path, '/usr/bin/')""",
@@ -100,7 +142,7 @@ _files(
     "SELECT f.pkg_id, f.path, f.kind, f.size, b.pattern_no, b.pattern FROM files f, (VALUES (0, 'bin/ring'), (1, 'man1/rod'), (2, 'lib/gear2'), (3, 'doc/')) b(pattern_no, pattern) WHERE contains(f.path, b.pattern)",
     *FP,
 )
-_files(lambda f: f.where(F.col("path").startswith("/share") & ~F.col("path").startswith("/share/doc")), "build_filter_exclude", "SELECT * FROM files WHERE starts_with(path, '/share') AND NOT starts_with(path, '/share/doc')", "files")
+_files(lambda f: BuildOptions(include_prefix="/share", exclude_prefixes=("/share/doc",)).kept(f), "build_filter_exclude", "SELECT * FROM files WHERE starts_with(path, '/share') AND NOT starts_with(path, '/share/doc')", "files")
 _files(lambda f: textindex.document_frequency(textindex.basename_postings(f), "basename"), "basename_postings", "SELECT basename, count(DISTINCT pkg_id) AS df FROM (SELECT regexp_extract(path, '[^/]*$') AS basename, pkg_id FROM files) WHERE basename <> '' GROUP BY 1", "files")
 _files(lambda f: textindex.path_postings(f), "path_postings", "SELECT DISTINCT path, pkg_id FROM files WHERE path <> ''", "files")
 _files(lambda f: textindex.prefix_packages(f, "/share/man/"), "prefix_packages", "SELECT DISTINCT pkg_id FROM files WHERE starts_with(path, '/share/man/')", "files")
@@ -121,7 +163,7 @@ _files(lambda f, p: commands.providers(f, p, strict=True), "which_strict", STRIC
 
 
 def _suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, packages = derive(spark, sf_dir, "files", "packages")
+    files, packages = tables(spark, sf_dir, "files", "packages")
     asked = files.select(fn.basename(F.col("path")).alias("command")).where("command <> ''").distinct()
     return commands.suggest(commands.providers(files, packages), asked.unionByName(asked.select(F.concat(F.lit("no-"), F.col("command")).alias("command"))))
 
@@ -153,7 +195,7 @@ RX = "CASE WHEN regexp_full_match({0}, '{1}') THEN {2} WHEN regexp_matches({0},
 _meta("meta_regex", MetaQuery("gear-[0-9]$", Field.ATTR, regex=True, case_sensitive=True), "regexp_matches(attr, 'gear-[0-9]$')", "1000")
 _meta("meta_relevance_regex", MetaQuery("(red|blue)-r[a-z]+-[0-9]", Field.ATTR, regex=True), "regexp_matches(attr, '(red|blue)-r[a-z]+-[0-9]')", RX.format("attr", "(red|blue)-r[a-z]+-[0-9]", 3000, 2000, 1000))
 _meta("meta_sort_main_program", MetaQuery("widget", Field.ATTR, sort=MetaSort.MAIN_PROGRAM_DESC, limit=60), "contains(lower(attr), 'widget')", _points("attr", "widget", metasearch.POINTS["attr"]), "ORDER BY coalesce(main_program, '') DESC, meta_ord LIMIT 60")
-_files(lambda m: metasearch.info(m, "cold-widget-1"), "info_attr", "SELECT * FROM package_meta WHERE attr = 'cold-widget-1' ORDER BY meta_ord LIMIT 1", "package_meta")
+_files(lambda m: metasearch.info(m, "cold-widget-77"), "info_attr", "SELECT * FROM package_meta WHERE attr = 'cold-widget-77' ORDER BY meta_ord LIMIT 1", "package_meta")
 _files(lambda m: m.where(metasearch.fuzzy.subsequence(F.col("attr"), "rdwt")).select("meta_ord", "attr"), "fuzzy_subsequence", "SELECT meta_ord, attr FROM package_meta WHERE regexp_matches(lower(attr), 'r.*d.*w.*t')", "package_meta")
 _files(lambda m: metasearch.search(m, MetaQuery("rdwgt", Field.ATTR, fuzzy=True)).select(*META), "fuzzy_ranked", "", "package_meta")
 ORACLES.pop("fuzzy_ranked", None)
@@ -163,9 +205,111 @@ _files(
 )
 _files(lambda p: p.select("pkg_id", fn.shown_label(F.col("attr"), F.col("output"), F.col("toplevel")).alias("shown")), "label_format", f"SELECT pkg_id, {SHOWN} FROM packages", "packages")
 _files(lambda p: incremental.last_writes(p).select("attr", "output", "pkg_id"), "last_write_wins", "SELECT attr, output, max(pkg_id) AS pkg_id FROM packages GROUP BY ALL", "packages")
+_catalog(lambda c: c.totals(), "catalog_stats", "SELECT * FROM (SELECT count(*) AS entries, count(DISTINCT path) AS paths FROM files), (SELECT count(*) AS packages, count(DISTINCT attr) AS attrs FROM packages)")
+
+# Searches through the indexes, and the sets that they are made of.
+ENDS = r"/share/.*bolt3$"
+_catalog(lambda c: textindex.candidate_paths(c.table("path_trigrams"), literals(ENDS)), "regex_prefix_suffix_candidates", "SELECT DISTINCT path FROM files WHERE contains(path, '/share/') AND contains(path, 'bolt3')", ("path_trigrams",), ("files",))
+HAS = " AND ".join(f"bool_or(contains(path, '{t}'))" for t in ("man", "an1", "n1/", "1/r", "/ro", "rod"))
+_catalog(lambda c: textindex.candidate_packages(c.table("package_trigrams"), ("man1/rod",)), "package_trigram_pruning", f"SELECT pkg_id FROM files GROUP BY 1 HAVING {HAS}", ("package_trigrams",), ("files",))
+_catalog(
+    lambda c: textindex.union_packages(c.table("basename_postings").where("basename = 'gear2'"), textindex.prefix_packages(c.table("path_entries"), "/sbin/")).join(
+        textindex.candidate_packages(c.table("package_trigrams"), ("lib",)), "pkg_id", "left_semi"),
+    "candidate_union_intersect", "SELECT pkg_id FROM files GROUP BY 1 HAVING (bool_or(regexp_extract(path, '[^/]*$') = 'gear2') OR bool_or(starts_with(path, '/sbin/'))) AND bool_or(contains(path, 'lib'))",
+    ("basename_postings", "path_entries", "package_trigrams"), ("files",),
+)
+_catalog(lambda c: textindex.named(c.table("basename_postings").where("basename = 'ring1'"), c.table("packages")).select("basename", "label"), "postings_named", "SELECT DISTINCT 'ring1' AS basename, attr || '.' || output AS label FROM files JOIN packages USING (pkg_id) WHERE regexp_extract(path, '[^/]*$') = 'ring1'", ("basename_postings",))
+_catalog(
+    lambda c: textindex.entries_of(c.table("path_dict"), c.table("path_entries"), c.table("packages"), c.table("path_dict").where("path_id % 5 = 0")),
+    "path_id_entries", "SELECT path, attr || '.' || output AS label, '/store/' || hash || '-' || name AS store_path, kind, size FROM files JOIN packages USING (pkg_id) JOIN (SELECT path, row_number() OVER (ORDER BY path) - 1 AS path_id FROM (SELECT DISTINCT path FROM files WHERE path <> '')) USING (path) WHERE path_id % 5 = 0",
+    ("path_dict", "path_entries"),
+)
+_catalog(lambda c: c.lookup("hot-rod-27", "out").select("attr", "output", "pkg_id"), "point_lookup", "SELECT attr, output, max(pkg_id) AS pkg_id FROM packages WHERE attr = 'hot-rod-27' AND output = 'out' GROUP BY ALL", (), ("packages",))
+_catalog(lambda c: c.which("ring1").select("command", "attr", "output", "toplevel", "shown"), "which_indexed", f"SELECT command, attr, output, toplevel, {SHOWN} FROM ({PROVIDERS}) WHERE command = 'ring1'", ("command_providers",))
+REGEXES = ["^/bin/r", "lib/g.*[13]$", "(bolt|nut)4"]
+_catalog(
+    lambda c: c.batch(Q("", regex=True, all=True, group=False), REGEXES).select("pkg_id", "path", "pattern_no", "pattern"), "locate_batch_regex",
+    "SELECT f.pkg_id, f.path, b.pattern_no, b.pattern FROM files f, (VALUES (0, '^/bin/r'), (1, 'lib/g.*[13]$'), (2, '(bolt|nut)4')) b(pattern_no, pattern) WHERE regexp_matches(f.path, b.pattern)", (), ("files",),
+)
+_catalog(lambda c: locate.json_lines(c.locate(Q("man1/rod", minimal=True)), minimal=True), "locate_json_minimal", """SELECT DISTINCT '{"attr":"' || CASE WHEN toplevel THEN attr || '.' || output ELSE '(' || attr || '.' || output || ')' END || '"}' AS line FROM files f JOIN packages p USING (pkg_id) WHERE contains(f.path, 'man1/rod')""", ("path_trigrams", "path_entries"))
+
+
+def _modes(c: Catalog) -> DataFrame:
+    asked, out = c.table("files").select(fn.basename(F.col("path")).alias("command")).where("command <> ''").distinct(), None
+    for mode in commands.MODES:
+        part = c.suggest(asked, mode).select(F.lit(mode).alias("mode"), "command", "n", "action", "exit_code")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_catalog(
+    _modes, "suggest_modes",
+    f"""SELECT mode, command, n, action, CASE WHEN action IN ('install', 'run') THEN 0 ELSE 127 END AS exit_code FROM (
+        SELECT mode, a.command, CAST(coalesce(n, 0) AS BIGINT) AS n, CASE WHEN n IS NULL THEN 'none' WHEN mode = 'json' THEN 'json'
+            WHEN n = 1 AND mode = 'message' THEN 'tell' WHEN n = 1 AND mode = 'interactive' THEN CASE WHEN top THEN 'prompt' ELSE 'tell' END
+            WHEN n = 1 THEN CASE WHEN NOT top THEN 'refuse' WHEN mode = 'auto-run' THEN 'run' ELSE 'install' END
+            WHEN mode = 'message' THEN 'list' WHEN mode = 'interactive' THEN 'prompt' ELSE 'refuse' END AS action
+        FROM (SELECT DISTINCT regexp_extract(path, '[^/]*$') AS command FROM files WHERE path <> '') a CROSS JOIN (VALUES ('message'), ('auto-install'), ('auto-run'), ('interactive'), ('json')) m(mode)
+        LEFT JOIN (SELECT command, count(*) AS n, bool_or(toplevel) AS top FROM ({PROVIDERS}) GROUP BY 1) s USING (command))""",
+    ("command_providers",),
+)
+_files(lambda m: m.select("meta_ord", fn.percent_encoded(F.concat("description", F.lit(" *+~(é)/"))).alias("enc")), "percent_encode", "SELECT meta_ord, url_encode(description || ' *+~(é)/') AS enc FROM package_meta", "package_meta")
+_files(lambda f: f.select("pkg_id", "path", fn.highlighted(F.col("path"), "bin/|g").alias("shown")), "highlight", "SELECT pkg_id, path, regexp_replace(path, '(bin/|g)', chr(27) || '[31m\\1' || chr(27) || '[0m', 'g') AS shown FROM files", "files")
+_files(lambda m: m.select("meta_ord", fn.cache_digest(F.col("license")).alias("cache_key")), "cache_digest", "SELECT meta_ord, CASE WHEN license IS NULL THEN 'unknown' ELSE sha256(license) END AS cache_key FROM package_meta", "package_meta")
+
+
+def _metadata_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (meta,) = tables(spark, sf_dir, "package_meta")
+    path = f"{shared_folder(spark).rstrip('/')}/meta-{uuid.uuid4().hex}"
+    evaluation.write_metadata(meta.drop("meta_ord"), path)
+    return evaluation.read_metadata(spark, path)
+
+
+register("metadata_roundtrip", _metadata_copy, "SELECT attr, name, description, main_program, license, homepage, maintainers, platforms FROM package_meta", ("package_meta",))
+
+
+def _scopes(p: DataFrame) -> DataFrame:
+    def broken() -> DataFrame:
+        raise OSError("gone")
+
+    part = lambda k: p.where(F.col("pkg_id") % 4 == k).select("pkg_id")
+    return evaluation.union_scopes(part(0), {"extra": lambda: part(1), "bad;name": lambda: part(2), "../up": lambda: part(2), "lost": broken})
+
+
+_files(_scopes, "scope_union", "SELECT pkg_id FROM packages WHERE pkg_id % 4 < 2", "packages")
+_files(
+    lambda p: p.select("pkg_id", evaluation.valid_scope(F.concat(F.when(F.col("pkg_id") % 3 == 0, "x..").when(F.col("pkg_id") % 3 == 1, "9").otherwise("s"), F.col("attr"))).alias("ok")),
+    "scope_validation", "SELECT pkg_id, pkg_id % 3 = 2 AS ok FROM packages", "packages",
+)
+_files(lambda p, r: closure.closure(_roots(p), r.withColumn("dst_name", F.lit("n")), deep=False).select("hash", "attr", "output", "toplevel"), "closure_shallow", "SELECT hash, attr, output, toplevel FROM packages WHERE pkg_id % 50 = 1", "packages", "refs")
+
+
+def _eval_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packages, files, meta = tables(spark, sf_dir, "packages", "files", "package_meta")
+    c = Catalog.build(spark, f"{shared_folder(spark).rstrip('/')}/eval-{uuid.uuid4().hex}", packages, files, meta, BuildOptions(eval_only=True))
+    return c.search(MetaQuery("Ring", Field.MAIN_PROGRAM, exact=True)).select("meta_ord", "attr", F.lit(c.counters.entries).alias("entries"))
+
+
+register("build_eval_only", _eval_only, "SELECT meta_ord, attr, 0 AS entries FROM package_meta WHERE lower(main_program) = 'ring'", ("package_meta",))
+
+
+def _narinfo(p: DataFrame) -> DataFrame:
+    other = F.concat(F.lpad((F.col("pkg_id") * 2).cast("string"), 32, "0"), F.lit("-dep"))
+    refs = F.when(F.col("pkg_id") % 5 == 0, F.lit("")).when(F.col("pkg_id") % 7 == 0, F.lit("short-x")).otherwise(F.concat_ws(" ", F.concat("hash", F.lit("-"), "name"), other))
+    return listings.references(p.select("hash", F.concat(F.lit("StorePath: /store/x\nURL: nar/"), "hash", F.lit(".nar\nReferences: "), refs, F.lit("\n")).alias("value")))
+
+
+_files(
+    _narinfo, "narinfo_references",
+    """SELECT hash, 'nar/' || hash || '.nar' AS url, pkg_id % 5 = 0 OR pkg_id % 7 <> 0 AS ok, CASE WHEN pkg_id % 5 <> 0 AND pkg_id % 7 <> 0 THEN k END AS ord,
+        CASE WHEN pkg_id % 5 <> 0 AND pkg_id % 7 <> 0 THEN CASE k WHEN 0 THEN hash ELSE lpad(CAST(pkg_id * 2 AS VARCHAR), 32, '0') END END AS dst_hash,
+        CASE WHEN pkg_id % 5 <> 0 AND pkg_id % 7 <> 0 THEN CASE k WHEN 0 THEN name ELSE 'dep' END END AS dst_name
+    FROM packages, (VALUES (0), (1)) v(k) WHERE k = 0 OR (pkg_id % 5 <> 0 AND pkg_id % 7 <> 0)""",
+    "packages",
+)
 _files(
-    lambda f, p: f.groupBy().agg(F.count("*").alias("entries"), F.countDistinct("path").alias("paths")).crossJoin(p.groupBy().agg(F.count("*").alias("packages"), F.countDistinct("attr").alias("attrs"))),
-    "catalog_stats", "SELECT * FROM (SELECT count(*) AS entries, count(DISTINCT path) AS paths FROM files), (SELECT count(*) AS packages, count(DISTINCT attr) AS attrs FROM packages)", *FP,
+    lambda p: incremental.upsert(p.where("pkg_id % 2 = 0").select(F.lit("k").alias("cache_key"), "hash", F.lit("old").alias("tree")), p.where("pkg_id % 3 = 0").select(F.lit("k").alias("cache_key"), "hash", F.lit("new").alias("tree"))),
+    "cache_upsert", "SELECT 'k' AS cache_key, hash, CASE WHEN pkg_id % 3 = 0 THEN 'new' ELSE 'old' END AS tree FROM packages WHERE pkg_id % 2 = 0 OR pkg_id % 3 = 0", "packages",
 )
 
 

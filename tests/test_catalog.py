@@ -102,7 +102,12 @@ def test_batch_and_rendering(spark, two):
     assert got == [(0, "abuild", "/bin/ls"), (0, "coreutils", "/bin/ls"), (1, "hello", "/bin/hello")]
     assert locate.batch(files, packages, q, []).count() == 0
     row = json.loads(locate.json_lines(locate.enriched(locate.locate(files, packages, LocateQuery("hello")), meta)).first().line)
-    assert row["type"] == "x" and row["main_program"] == "hello" and "target" not in row
+    assert row == {"attr": "hello.out", "size": 50, "type": "x", "path": "/bin/hello", "store_path": "/store/" + "3" * 32 + "-hello-2.12.3", "description": "A friendly greeting", "main_program": "hello"}
+    full = meta.selectExpr("*", "'MIT' as license", "'https://x' as homepage", "array('m') as maintainers", "array('p') as platforms")
+    row = json.loads(locate.json_lines(locate.enriched(locate.locate(files, packages, LocateQuery("hello")), full)).first().line)
+    assert (row["license"], row["homepage"], row["maintainers"], row["platforms"]) == ("MIT", "https://x", ["m"], ["p"])
+    least = locate.json_lines(locate.locate(files, packages, LocateQuery("bin/ls", minimal=True)), minimal=True)
+    assert sorted(r.line for r in least.collect()) == ['{"attr":"(abuild.out)"}', '{"attr":"coreutils.out"}']
 
 
 def test_evaluation_records(spark):
@@ -175,6 +180,27 @@ def test_incremental(spark):
     assert not any(r.ok for r in incremental.reconstruct(shifted.drop("data"), shifted.select("hash", "data").limit(0)).collect())
 
 
+def test_republishing(spark, two, tmp_path):
+    """New files make a new version; who opened the one before keeps it."""
+    packages, files, meta = two
+    source, path = tmp_path / "in", str(tmp_path / "catalog")
+    source.mkdir()
+
+    def rebuild(outputs):
+        kept = packages.join(outputs.select("attr").distinct(), "attr", "left_semi").select(*packages.columns)
+        return Catalog.build(spark, path, kept, files.join(kept, "pkg_id", "left_semi"), meta)
+
+    seen = []
+    for k, names in enumerate((["coreutils", "abuild"], ["hello"])):
+        for a in names:
+            (source / f"{a}.json").write_text(json.dumps({"attr": a, "outputs": {"out": f"/s/h-{a}"}}) + "\n")
+        refresh.republish(spark, str(source), path, str(tmp_path / "ck"), rebuild).awaitTermination(120)
+        seen.append(Catalog.open(spark, path))
+        assert [c.table("packages").count() for c in seen] == [2, 3][: k + 1]
+    refresh.republish(spark, str(source), path, str(tmp_path / "ck"), rebuild).awaitTermination(120)
+    assert Catalog.open(spark, path).version == seen[-1].version
+
+
 def test_streaming_refresh(spark, tmp_path):
     source, target = tmp_path / "in", str(tmp_path / "out")
     source.mkdir()

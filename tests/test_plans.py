@@ -30,7 +30,12 @@ def test_dialect(spark):
     df = spark.createDataFrame([("ab\n",), ("ab",), ("é9",), ("a\rb",), ("x&[y",)], "s string")
     hits = lambda p, **k: {r.s for r in df.where(F.col("s").rlike(to_java(p, **k))).collect()}
     assert hits("b$") == {"ab", "a\rb"} and hits("a.b") == {"a\rb"} and hits(r"^\w\d$") == {"é9"} and hits("É", ignore_case=True) == {"é9"}
-    assert hits("[&[]y") == {"x&[y"} and hits("[]&]") == {"x&[y"} and hits("[^a-z]9") == {"é9"}
+    assert hits(r"[&\[]y") == {"x&[y"} and hits("[]&]") == {"x&[y"} and hits("[^a-z]9") == {"é9"}
+    assert hits("^[[:alpha:]]+$") == {"ab"} and hits("[[:^alpha:]]$") == {"ab\n", "é9"} and hits("^[a-z&&[^b]]b$") == {"ab"} and hits("(?P<n>a)b$") == {"ab"}
+    assert hits(r"^\p{L}[0-9]$") == {"é9"} and hits(r"\x{e9}|\u00e9") == {"é9"} and hits("(?i)AB$") == {"ab"} and hits(r"^\p{Latin}\d") == {"é9"}
+    for bad in ("[&[]y", "[a--b]", "[a~~b]", "(?x)a b", r"\Qa", "(?>a)", "a++", "[[:none:]]", "a{3,1}", "(a", r"\p{Nothing}", "*a", r"(?<n>a)\k<n>"):
+        with pytest.raises(ValueError):
+            to_java(bad)
     for bad in ("(?=a)", "(?<!a)", r"(a)\1", "a\\", "[a", "x" * 1025):
         with pytest.raises(ValueError):
             to_java(bad)
@@ -82,7 +87,7 @@ def test_functions(spark):
         fn.main_program_ok(F.lit("foo/bar")).alias("m"), fn.main_program_ok(F.lit("foo")).alias("k"),
     ).first()
     assert one.e == "a%20b%2A~%2F%C3%A9" and one.t == ["616263", "626361", "636162"] and one.u == [] and not one.m and one.k
-    assert one.l == "a.out" + " " * 36 + " " * 8 + " 1,000 x /bin/a" and one.h == "\x1b[1;31ma\x1b[0m-b-\x1b[1;31ma\x1b[0m"
+    assert one.l == "a.out" + " " * 36 + " " * 8 + " 1,000 x /bin/a" and one.h == "\x1b[31ma\x1b[0m-b-\x1b[31ma\x1b[0m"
 
 
 def test_fuzzy():
