@@ -218,7 +218,7 @@ _catalog(
     "candidate_union_intersect", "SELECT pkg_id FROM files GROUP BY 1 HAVING (bool_or(regexp_extract(path, '[^/]*$') = 'gear2') OR bool_or(starts_with(path, '/sbin/'))) AND bool_or(contains(path, 'lib'))",
     ("basename_postings", "path_entries", "package_trigrams"), ("files",),
 )
-_catalog(lambda c: textindex.named(c.table("basename_postings").where("basename = 'ring1'"), c.table("packages")).select("basename", "label"), "postings_named", "SELECT DISTINCT 'ring1' AS basename, attr || '.' || output AS label FROM files JOIN packages USING (pkg_id) WHERE regexp_extract(path, '[^/]*$') = 'ring1'", ("basename_postings",))
+_catalog(lambda c: textindex.named(c.table("basename_postings").where("basename = 'ring1'"), c.table("packages")).select("basename", "label"), "postings_named", "SELECT 'ring1' AS basename, attr || '.' || output AS label FROM packages WHERE pkg_id IN (SELECT pkg_id FROM files WHERE regexp_extract(path, '[^/]*$') = 'ring1')", ("basename_postings",))
 _catalog(
     lambda c: textindex.entries_of(c.table("path_dict"), c.table("path_entries"), c.table("packages"), c.table("path_dict").where("path_id % 5 = 0")),
     "path_id_entries", "SELECT path, attr || '.' || output AS label, '/store/' || hash || '-' || name AS store_path, kind, size FROM files JOIN packages USING (pkg_id) JOIN (SELECT path, row_number() OVER (ORDER BY path) - 1 AS path_id FROM (SELECT DISTINCT path FROM files WHERE path <> '')) USING (path) WHERE path_id % 5 = 0",
