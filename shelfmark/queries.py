@@ -197,8 +197,16 @@ _meta("meta_relevance_regex", MetaQuery("(red|blue)-r[a-z]+-[0-9]", Field.ATTR,
 _meta("meta_sort_main_program", MetaQuery("widget", Field.ATTR, sort=MetaSort.MAIN_PROGRAM_DESC, limit=60), "contains(lower(attr), 'widget')", _points("attr", "widget", metasearch.POINTS["attr"]), "ORDER BY coalesce(main_program, '') DESC, meta_ord LIMIT 60")
 _files(lambda m: metasearch.info(m, "cold-widget-77"), "info_attr", "SELECT * FROM package_meta WHERE attr = 'cold-widget-77' ORDER BY meta_ord LIMIT 1", "package_meta")
 _files(lambda m: m.where(metasearch.fuzzy.subsequence(F.col("attr"), "rdwt")).select("meta_ord", "attr"), "fuzzy_subsequence", "SELECT meta_ord, attr FROM package_meta WHERE regexp_matches(lower(attr), 'r.*d.*w.*t')", "package_meta")
-_files(lambda m: metasearch.search(m, MetaQuery("rdwgt", Field.ATTR, fuzzy=True)).select(*META), "fuzzy_ranked", "", "package_meta")
-ORACLES.pop("fuzzy_ranked", None)
+PLACE = "CASE WHEN i = 1 THEN 24 WHEN regexp_matches(substr(s, CAST(i - 1 AS INT), 1), '[a-z0-9]') THEN 16 ELSE 22 END"
+STEP = "list_transform(range(1, n + 1), lambda i: CASE WHEN substr(s, CAST(i AS INT), 1) = '{0}' {1} ELSE -1000000 END) AS l"
+FIRST = STEP.format("r", f"THEN {PLACE}")
+NEXT = "AND i > 1 THEN " + PLACE + " + greatest(list_max(list_transform(range(1, i), lambda j: l[j] - (i - 1 - j))), l[i - 1] + 8)"
+_files(
+    lambda m: metasearch.search(m, MetaQuery("rdwgt", Field.ATTR, fuzzy=True)).select(*META), "fuzzy_ranked",
+    f"SELECT meta_ord, attr, CAST(list_max(l) AS INT) AS score FROM (SELECT * REPLACE ({STEP.format('t', NEXT)}) FROM (SELECT * REPLACE ({STEP.format('g', NEXT)}) FROM (SELECT * REPLACE ({STEP.format('w', NEXT)}) "
+    f"FROM (SELECT * REPLACE ({STEP.format('d', NEXT)}) FROM (SELECT *, {FIRST} FROM (SELECT meta_ord, attr, lower(attr) AS s, length(attr) AS n FROM package_meta)))))) WHERE list_max(l) > 0",
+    "package_meta",
+)
 _files(
     lambda p: p.select("pkg_id", fn.parse_store_path(fn.store_path(F.col("store_dir"), F.col("hash"), F.col("name"))).alias("q")).select("pkg_id", "q.dir", "q.hash", "q.name"),
     "store_path_parse", "SELECT pkg_id, store_dir AS dir, hash, name FROM packages", "packages",

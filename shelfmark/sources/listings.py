@@ -130,8 +130,19 @@ def read_payloads(spark: SparkSession, path: str, most: int = MAX_BYTES) -> Data
     return files.select("path", "content").mapInPandas(run, "path string, tree string, error string")
 
 
+def fetched(spark: SparkSession, path: str, keys: DataFrame, key: str = "key", suffix: str = "") -> DataFrame:
+    """``key, status, body`` for each key, from a mirror folder in any store that Spark reads: 200 with the
+    file's bytes, or 404 where there is none. Each distinct key is looked up once."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(path)
+    name = F.url_decode(F.substring_index("path", "/", -1))
+    files = files.select(F.substring(name, F.lit(1), F.length(name) - len(suffix)).alias("name"), "content")
+    out = keys.select(F.col(key).alias("key")).distinct().join(files, F.col("key") == F.col("name"), "left")
+    return out.select("key", F.when(F.col("content").isNull(), 404).otherwise(200).alias("status"), F.col("content").alias("body"))
+
+
 class MirrorSource(DataSource):
-    """Reads keys from a mirror folder: ``key, status, body``, with 404 where there is no file.
+    """Reads keys from a mirror folder that every executor mounts: ``key, status, body``, with 404 where
+    there is no file, and retries with growing pauses. ``fetched`` reads any store instead.
 
     Options: ``path``, ``keys`` (separated by line feeds), ``suffix``, ``partitions``, ``retries``.
     """

@@ -147,6 +147,8 @@ def test_trees_and_references(spark, tmp_path):
     spark.dataSource.register(listings.MirrorSource)
     rows = spark.read.format("mirror").option("path", str(tmp_path)).option("keys", "c\nzz").load().collect()
     assert {(r.key, r.status) for r in rows} == {("c", 200), ("zz", 404)}
+    keys = spark.createDataFrame([("c",), ("zz",), ("c",)], "key string")
+    assert {(r.key, r.status, r.body and bytes(r.body)) for r in listings.fetched(spark, str(tmp_path), keys).collect()} == {("c", 200, b"plain"), ("zz", 404, None)}
 
 
 def test_closure_and_synthesis(spark):

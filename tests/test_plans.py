@@ -1,5 +1,6 @@
 """Regular expressions, literals, and predicates against a plain model of the full scan."""
 
+import itertools
 import re
 
 import pytest
@@ -93,3 +94,28 @@ def test_functions(spark):
 def test_fuzzy():
     s = lambda t: fuzzy.score_of("nvim", t)
     assert s("nvim") > s("nvim-x") > s("neovim") > s("n-e-o-v-i-m") > 0 == s("vim") == s(None) == s("")
+
+
+def every_placement(needle, text):
+    """Best fuzzy score by trying all places of the needle's characters."""
+    low, n = text.lower(), needle.lower()
+    best = 0
+    for spots in itertools.combinations(range(len(text)), len(n)):
+        if all(low[i] == c for i, c in zip(spots, n, strict=True)):
+            score = 0
+            for k, i in enumerate(spots):
+                score += fuzzy.HIT + (fuzzy.START if i == 0 else fuzzy.BOUNDARY if not text[i - 1].isalnum() else 0)
+                if k:
+                    gap = i - spots[k - 1] - 1
+                    score += fuzzy.RUN if not gap else -fuzzy.GAP * gap
+            best = max(best, score + (fuzzy.WHOLE if n == low else 0))
+    return best
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab-C", min_size=1, max_size=3), st.text("abc-C ", max_size=9))
+def test_fuzzy_scores_are_the_best_placement(needle, text):
+    assert fuzzy.score_of(needle, text) == every_placement(needle, text)
+    batch = [None, "", text, text + "-" + needle, needle]
+    for case in (False, True):
+        assert fuzzy.scores_of(needle, batch, case).tolist() == [fuzzy.score_of(needle, t, case) for t in batch]
