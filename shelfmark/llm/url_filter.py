@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 #: The contract's rules, as action and pattern. Their names are host and path.
 HOST_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Patterns of our own for URLs that no host rule fits; the longest that matches decides.
@@ -80,7 +82,8 @@ def pattern_rules(rules=PATTERN_RULES) -> list[Rule]:
 
 def split_url(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path; both empty for null or without ``://``."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substring({0}, instr({0}, '://') + 3)".format("_url")))
+    at = F.instr(url, "://")
+    rest = F.when(at > 0, F.substring(url, at + 3, F.length(url)))
     host = F.coalesce(F.regexp_extract(rest, r"^[^/?#]*", 0), F.lit(""))
     path = F.coalesce(F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1), F.lit(""))
     az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -129,11 +132,12 @@ def filter_urls(df: DataFrame, url: str = "url", rules: list[Rule] | None = None
     empty host and path, match nothing and get the default. Rows are kept as they are, repeats too.
     """
     rules = [*host_rules(), *pattern_rules()] if rules is None else rules
-    cols = [c for c in df.columns if c.lower() not in ("host", "path", "rule", "verdict", "_url")]
-    host, path = split_url(F.col("_url"))
-    out = df.withColumn("_url", F.col(url)).select(*[F.col(f"`{c}`") for c in cols], host.alias("host"), path.alias("path"))
-    out = out.withColumn("_target", F.concat("host", "path"))
-    index = rarest_tokens(out, rules, "_target")
+    cols = [c for c in df.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    target, judged = free_name(df, "url_target"), free_name(df, "url_judged")
+    host, path = split_url(F.col(url))
+    out = df.select(*[F.col(f"`{c}`") for c in cols], host.alias("host"), path.alias("path"))
+    out = out.withColumn(target, F.concat("host", "path"))
+    index = rarest_tokens(out, rules, target)
 
     @F.pandas_udf("rule string, verdict string")
     def judge(targets: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -147,5 +151,5 @@ def filter_urls(df: DataFrame, url: str = "url", rules: list[Rule] | None = None
                 }
             )
 
-    out = out.withColumn("_judged", judge("_target"))
-    return out.select(*[F.col(f"`{c}`") for c in cols], "host", "path", "_judged.rule", "_judged.verdict")
+    out = out.withColumn(judged, judge(F.col(target)))
+    return out.select(*[F.col(f"`{c}`") for c in cols], "host", "path", f"{judged}.rule", f"{judged}.verdict")
