@@ -170,18 +170,20 @@ def link(fps: DataFrame, distance: int = 4) -> DataFrame:
 def _split_crowds(homes: DataFrame, visits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Keeps the residents of a crowded anchor's largest group from the visitors of that group.
 
-    At an anchor where one group has ``CROWD`` residents or more, that group's visitors get a key of
-    their own (lowest bit set), to which only the other groups' residents go too. The result is the
-    same with or without; pairs inside a group are linked already.
+    Both tables hold ``key, grp`` and columns of their own; a key's lowest bit is free. At an anchor
+    where one group has ``CROWD`` residents or more, that group's visitors get a key of their own
+    (lowest bit set), to which only the other groups' residents go too. The result is the same with or
+    without; pairs inside a group are linked already.
     """
     size = homes.groupBy("key", "grp").agg(F.count("*").alias("n")).where(F.col("n") >= CROWD)
     crowd = checkpoint(size.groupBy("key").agg(F.max_by("grp", F.struct("n", "grp")).alias("main")))
     if crowd.isEmpty():
         return homes, visits
     own = F.col("grp").eqNullSafe(F.col("main"))
+    rest = [c for c in homes.columns if c != "key"]
     h = homes.join(crowd, "key", "left")
-    h = h.select("fp", "grp", F.explode(F.when(F.col("main").isNull() | own, F.array("key")).otherwise(F.array("key", F.col("key") + 1))).alias("key"))
-    v = visits.join(crowd, "key", "left").select("fp", "grp", F.when(own, F.col("key") + 1).otherwise(F.col("key")).alias("key"))
+    h = h.select(*rest, F.explode(F.when(F.col("main").isNull() | own, F.array("key")).otherwise(F.array("key", F.col("key") + 1))).alias("key"))
+    v = visits.join(crowd, "key", "left").select(*rest, F.when(own, F.col("key") + 1).otherwise(F.col("key")).alias("key"))
     return h, v
 
 
