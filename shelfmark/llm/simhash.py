@@ -5,7 +5,8 @@ limit differ by at most one bit in some block. In each block the words of a Hamm
 with the block's other bits free, are the anchors: every value lies within the covering radius 1 of
 one anchor, its home. A fingerprint is sent to its home and to every anchor within covering radius
 plus threshold (1 + 1), and each anchor compares its residents with its visitors. Pairs that differ
-by at most one bit in a block therefore meet, so no link is lost.
+by at most one bit in a block therefore meet, so no link is lost. Of two values that differ by one bit
+one has an odd number of bits: only such values are sent beyond their home.
 
 Large groups of near copies would make an anchor compare all pairs. Before, each fingerprint is
 sent to the 65 points within distance one of it: those that meet at a point (65 at most) lie within
@@ -92,6 +93,11 @@ def _syndrome(value: Column) -> Column:
     return out
 
 
+def _flip(value: Column) -> Column:
+    """The bit that leads from a value to its home."""
+    return F.element_at(F.array(*[F.lit(0 if s == 0 else 1 << (s - 1)).cast("long") for s in range(16)]), _syndrome(value) + 1)
+
+
 def _reach(width: int) -> list[list[int]]:
     """By syndrome: the bit patterns of weight two at most that lead to an anchor."""
     by: list[list[int]] = [[] for _ in range(16)]
@@ -118,8 +124,7 @@ def _homes(nodes: DataFrame, blocks: list[tuple[int, int]]) -> DataFrame:
     keys = []
     for n, (shift, width) in enumerate(blocks):
         v = _block(F.col("fp"), shift, width)
-        flip = F.element_at(F.array(*[F.lit(0 if s == 0 else 1 << (s - 1)).cast("long") for s in range(16)]), _syndrome(v) + 1)
-        keys.append(_key(n, v.bitwiseXOR(flip)))
+        keys.append(_key(n, v.bitwiseXOR(_flip(v))))
     return nodes.select("fp", "grp", F.explode(F.array(*keys)).alias("key"))
 
 
@@ -128,7 +133,9 @@ def _visits(nodes: DataFrame, blocks: list[tuple[int, int]]) -> DataFrame:
     for n, (shift, width) in enumerate(blocks):
         v = _block(F.col("fp"), shift, width)
         masks = F.array(*[F.array(*[F.lit(m).cast("long") for m in row]) for row in _reach(width)])
-        part = nodes.select("fp", "grp", v.alias("v"), F.explode(F.element_at(masks, _syndrome(v) + 1)).alias("m"))
+        # Of a pair that differs by one bit one has an odd number of bits, and its visits are enough; equal ones share their home.
+        reach = F.when(F.bit_count(v) % 2 == 1, F.element_at(masks, _syndrome(v) + 1)).otherwise(F.array(_flip(v)))
+        part = nodes.select("fp", "grp", v.alias("v"), F.explode(reach).alias("m"))
         part = part.select("fp", "grp", _key(n, F.col("v").bitwiseXOR(F.col("m"))).alias("key"))
         out = part if out is None else out.unionByName(part)
     return out
