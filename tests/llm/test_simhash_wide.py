@@ -84,7 +84,7 @@ def test_crowds_do_not_change_meetings(spark, monkeypatch):
         for k in range(40):
             bits = base ^ sum(1 << b for b in rnd.sample(range(256), 3)) if k else base
             rows.append((len(rows), g if k % 5 else 100 + len(rows), *[signed(bits >> 64 * w & (1 << 64) - 1) for w in range(4)]))
-    nodes = spark.createDataFrame(rows, "node long, grp long, f0 long, f1 long, f2 long, f3 long")
+    nodes = spark.createDataFrame(rows, "node long, grp long, f0 long, f1 long, f2 long, f3 long").selectExpr("*", "0 as size", "0 as shared", "0L as pivot", "0L as lack")
     met = lambda: {(min(r.x, r.y), max(r.x, r.y)) for r in wide.meetings(nodes, 20).collect()}
     plain = met()
     monkeypatch.setattr(simhash, "CROWD", 4)
@@ -100,7 +100,7 @@ def test_last_bits_make_anchors(spark):
         f = rnd.getrandbits(256)
         for bits in (f, f ^ sum(1 << k for k in flips)):
             rows.append((len(rows), len(rows), *[signed(bits >> 64 * w & (1 << 64) - 1) for w in range(4)]))
-    nodes = spark.createDataFrame(rows, "node long, grp long, f0 long, f1 long, f2 long, f3 long")
+    nodes = spark.createDataFrame(rows, "node long, grp long, f0 long, f1 long, f2 long, f3 long").selectExpr("*", "0 as size", "0 as shared", "0L as pivot", "0L as lack")
     got = {(min(r.x, r.y), max(r.x, r.y)) for r in wide.meetings(nodes, len(flips)).collect()}
     assert got == {(2 * k, 2 * k + 1) for k in range(20)}
 
@@ -120,3 +120,28 @@ def test_threshold_is_exact(spark):
     kept = {r.doc_id for r in wide.drop_near_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert len(above) > 100 and len(below) > 40 and all(i in kept for i in below)
     assert sum(i in kept for i in above) <= 0.08 * len(above)
+
+
+def test_bounds_hold_and_leave_few(spark):
+    """A family by random edits of one text: no similar pair is ruled out, and few others are left."""
+    rnd, rows = random.Random(11), []
+    base = ["".join(rnd.choices("abcdefghij", k=5)) for _ in range(150)]
+    for _ in range(200):
+        copy = list(base)
+        for at in rnd.sample(range(150), rnd.choice([1, 2, 3, 4])):
+            copy[at] = "".join(rnd.choices("klmnop", k=4))
+        rows.append((len(rows), " ".join(copy)))
+    texts = spark.createDataFrame(rows, "node long, text string")
+    pairs = spark.createDataFrame([(i, 0 if i % 2 else i - 1) for i in range(1, 200)], "x long, y long")
+    got = {r.n1: r for r in wide._bounds(pairs, wide._sets(pairs, texts, 5)).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    assert len(got) == 200 and {r.pivot for r in got.values()} == {0} and all(r.size == len(sets[i]) for i, r in got.items())
+    left = similar = 0
+    for i, k in itertools.combinations(range(200), 2):
+        a, b = got[i], got[k]
+        most = min(a.shared - (b.lack & ~a.lack & (1 << 64) - 1).bit_count(), b.shared - (a.lack & ~b.lack & (1 << 64) - 1).bit_count())
+        both = len(sets[i] & sets[k])
+        assert both <= most
+        left += 9 * most >= 4 * (a.size + b.size)
+        similar += 9 * both >= 4 * (a.size + b.size)
+    assert similar <= left <= 1.5 * similar
