@@ -34,7 +34,7 @@ from .common import checkpoint, free_name, row_key
 WINDOW = 5
 #: Share of an item's windows that a leak covers.
 COVER = 0.5
-#: The bit map has 16 bits for each window of the table, but no more than this power of two (32 MB).
+#: The bit map has a thousand bits for each window of the table, but no more than this power of two (32 MB).
 MAP_BITS = 28
 #: Characters of text that are canonicalised at once (a longer text is taken alone).
 CHARS = 1_000_000
@@ -365,7 +365,7 @@ def leaks(
     kinds = checkpoint(classes(benchmark, item_col, item_text, window))
     lookups = checkpoint(_lookups(kinds, cover))
     widths = sorted(r[0] for r in kinds.select(F.least(F.size("tokens"), F.lit(window))).distinct().collect())
-    bits = min(MAP_BITS, max(16, int(lookups.count() * 16).bit_length()))
+    bits = min(MAP_BITS, max(16, int(lookups.count() * 1000).bit_length()))
     shared = spark.sparkContext.broadcast((_bit_map(lookups, bits), bits, widths))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
