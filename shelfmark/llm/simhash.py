@@ -30,6 +30,8 @@ from .components import components
 HAMMING = 15
 #: Shingles hashed at once, so that a very long text needs bounded memory.
 CHUNK = 1 << 15
+#: Crowded anchors up to which their list is broadcast; more are joined.
+LISTED = 100_000
 #: An anchor with this many residents of one group counts as crowded.
 CROWD = 128
 
@@ -184,8 +186,11 @@ def _split_crowds(homes: DataFrame, visits: DataFrame) -> tuple[DataFrame, DataF
     """
     size = homes.groupBy("key", "grp").agg(F.count("*").alias("n")).where(F.col("n") >= CROWD)
     crowd = checkpoint(size.groupBy("key").agg(F.max_by("grp", F.struct("n", "grp")).alias("main")))
-    if crowd.isEmpty():
+    many = crowd.limit(LISTED + 1).count()
+    if not many:
         return homes, visits
+    if many <= LISTED:  # a few megabytes: the visitors need not be dealt once more for it
+        crowd = F.broadcast(crowd)
     own = F.col("grp").eqNullSafe(F.col("main"))
     rest = [c for c in homes.columns if c != "key"]
     h = homes.join(crowd, "key", "left")
