@@ -178,3 +178,63 @@ def test_components(spark):
     df = spark.createDataFrame(edges, "a long, b long")
     assert {r.node: r.comp for r in components.components(df).collect()} == {i: root(i) for i in parent}
     assert components.components(df.limit(0)).count() == 0
+
+
+def smallest_reached(edges):
+    up = {}
+
+    def root(i):
+        while up.setdefault(i, i) != i:
+            i = up[i]
+        return i
+
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+    return {i: root(i) for i in up}
+
+
+def test_components_by_star_steps(spark, monkeypatch):
+    rnd = random.Random(4)
+    edges = [(rnd.randint(0, 400), rnd.randint(0, 400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(40)] + [(7000 + i, 7000) for i in range(300)]
+    edges += [(9000, 9300 + i) for i in range(50)] + [(-9, 9340), (5, 5), (None, 3), (3, None)]
+    for kind, more in (("bigint", [(-(1 << 63), 9341), ((1 << 63) - 1, 7001)]), ("int", [])):
+        df = spark.createDataFrame(edges + more, f"a {kind}, b {kind}")
+        for most in (components.SMALL, 450, 0):  # one task at once, after some star steps, star steps to the end
+            monkeypatch.setattr(components, "SMALL", most)
+            out = components.components(df)
+            assert out.dtypes == [("node", kind), ("comp", kind)]
+            rows = out.collect()
+            assert {r.node: r.comp for r in rows} == smallest_reached(edges + more)
+            assert len(rows) == len({r.node for r in rows})
+            monkeypatch.undo()
+
+
+def tasks_of(spark, name, run):
+    """How many tasks the driver handles for ``run()``."""
+    sc = spark.sparkContext
+    sc.setJobGroup(name, name)
+    try:
+        run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    track = sc.statusTracker()
+    stages = {s for j in track.getJobIdsForGroup(name) for s in track.getJobInfo(j).stageIds}
+    return sum(i.numCompletedTasks for s in stages if (i := track.getStageInfo(s)))
+
+
+def test_components_spare_the_driver(spark, monkeypatch):
+    """The driver handles every task: short lists of edges take few, and no star step finds that nothing changed."""
+    parts = 16
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long").repartition(parts)
+    star = spark.createDataFrame([(i, 0) for i in range(1, 60)], "a long, b long").repartition(parts)
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert tasks_of(spark, "short list", lambda: components.components(chain).count()) <= 5 * parts
+        monkeypatch.setattr(components, "SMALL", 0, raising=False)
+        assert tasks_of(spark, "stars", lambda: components.components(star).count()) <= 10 * parts
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
