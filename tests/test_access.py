@@ -130,3 +130,42 @@ def test_pointer_is_always_there(spark, tmp_path):
     stop.set()
     reader.join()
     assert not bad and (tmp_path / "current").read_text() == "v-199"
+
+
+def test_candidate_paths_without_the_entries_by_path(catalog):
+    bare = Catalog.build(catalog.spark, catalog.path + "-by-name", catalog.table("packages"), catalog.table("files").drop("basename"), catalog.table("package_meta"), BuildOptions(indexes=("path_trigrams", "path_dict")))
+    rows = lambda df: sorted(map(str, df.collect()))
+    for q, access in ((Q("libgrep", all=True), Access.TRIGRAMS), (Q("bin/tool", all=True), Access.TRIGRAMS), (Q("t", all=True, group=False), Access.PATHS), (Q("nothing-of-it", all=True), Access.TRIGRAMS)):
+        assert bare.access(q) is access and rows(bare.locate(q)) == rows(catalog.locate(q, Access.SCAN))
+    plan = _plan(bare.locate(Q("libgrep", all=True)))
+    assert "EqualTo(basename,libgrep.a)" in plan and "EqualTo(path,/lib/libgrep.a)" in plan
+
+
+def test_a_build_computes_its_rows_once(spark, catalog, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    files = catalog.table("files").drop("basename")
+    made = Catalog.build(spark, str(tmp_path / "once"), catalog.table("packages"), files.mapInPandas(counted, files.schema), catalog.table("package_meta"), BuildOptions(indexes=()))
+    assert seen.value == files.count() == made.counters.entries and not made.has("unsorted-files")
+
+
+def test_files_are_made_as_their_sql_says(spark, tmp_path):
+    """Odd rows: two names of one part, a name of one word, nulls, numbers below zero, parts without a name."""
+    from shelfmark import derived
+
+    part = [(1, "red rod", 1), (1, "red rod1", 1), (2, "red", 1), (3, None, 1), (4, "hot nested/rod", 1), (None, "a b", 1)]
+    item = [(k, n, s, p) for k in (1, 2, 3, 4, None) for n in (-8, 0, 1, 6, 7, 13, None) for s in (-6, 0, 1, 5, 11, None) for p in (3.9, None, -0.5)]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame(item, "l_partkey long, l_linenumber int, l_suppkey long, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    sql = derived.FILES
+    for t in ("part", "lineitem"):
+        sql = sql.replace(f"FROM {t}", f"FROM {{{t}}} AS {t}").replace(f"JOIN {t}", f"JOIN {{{t}}} AS {t}")
+    want = spark.sql(sql, **{t: spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("part", "lineitem")})
+    (got,) = derived.derive(spark, str(tmp_path), "files")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.dtypes == want.dtypes
+    assert "SortAggregate" not in _plan(got)
