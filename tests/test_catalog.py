@@ -212,3 +212,16 @@ def test_streaming_refresh(spark, tmp_path):
         refresh.refresh(spark, str(source), target, str(tmp_path / "ck")).awaitTermination(60)
         assert spark.read.parquet(target).count() == 2 + k
     assert refresh.changed("a", "b") and not refresh.changed("a", "a") and refresh.changed("a", None)
+
+
+def test_metadata_queries_build_no_files(spark, sf, monkeypatch):
+    from shelfmark import queries
+
+    monkeypatch.setattr(queries, "_built", {})
+    monkeypatch.setattr(queries, "_recorded", {})
+    own = lambda: {tuple(r) for r in queries.tables(spark, sf, "packages")[0].select("pkg_id", "attr", "output", "hash", "name").collect()}
+    got = own()
+    counts = {n: queries.QUERIES[n](spark, sf).count() for n in ("cache_upsert", "build_eval_only", "point_lookup")}
+    assert not queries._built and len(queries._recorded) == 1
+    queries.built(spark, sf)
+    assert own() == got and {n: queries.QUERIES[n](spark, sf).count() for n in counts} == counts
