@@ -225,3 +225,21 @@ def test_metadata_queries_build_no_files(spark, sf, monkeypatch):
     assert not queries._built and len(queries._recorded) == 1
     queries.built(spark, sf)
     assert own() == got and {n: queries.QUERIES[n](spark, sf).count() for n in counts} == counts
+
+
+def test_cut_points_follow_the_plain_sum():
+    import random
+
+    gear = incremental._gear()
+    for n in (1, 2, 63, 64, 65, 5000):
+        data = random.Random(n).randbytes(n)
+        h = [sum(int(gear[data[i - age]]) << age for age in range(min(64, i + 1))) % 2**64 for i in range(n)]
+        want, start = [], 0
+        while n - start > 50:
+            end, at = min(start + 900, n), None
+            mid = min(start + 200, end)
+            at = next((i for i in range(start + 50, mid + 1) if h[i - 1] >> 56 == 0), None)
+            at = at or next((i for i in range(max(mid, start + 50), end + 1) if h[i - 1] >> 58 == 0), end)
+            want.append(at)
+            start = at
+        assert incremental.cut_points(data, 50, 200, 900, gear) == want + [n] * (start < n)
